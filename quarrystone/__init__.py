@@ -1,3 +1,10 @@
 """quarrystone: a PySpark-native engine for curating, reshaping and evaluating measurement tables."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel whole, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,7 +16,7 @@ BLANK_TOKENS = ("", "-", "- -", "n/a", "?", "none", "nan")
 # English month names as the curators write them.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_WS = r"[\s  -​ 　﻿]+"
+_WS = r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+"
 
 
 def squeeze(text: Column) -> Column:

@@ -1,2 +1,64 @@
-QUERIES = {}
+"""Problem 7: quantities recorded in different units."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrystone.functions.clean import number_or_null
+from quarrystone.functions.units import MICROMOLES, micromolar, noted_unit, significant, stated_number, stated_unit
+from quarrystone.operators.unit_hmm import decode_units
+from quarrystone.sources.tables import table
+
+# What a comment's note must mention to speak of the acid, of the extractant or of the metal.
+ACID, LIGAND, METAL = r"acid|säure|\bhx\b", r"extract|ligand|extraktionsmittel", r"metal"
+
+
+def _records(spark, d):
+    """One row per record and field: the number, and each piece of evidence for its unit."""
+    known = F.broadcast(table(spark, d, "source_units").select(F.col("source_file").alias("device"), "field_name", F.col("unit").alias("file_unit")).dropDuplicates(["device", "field_name"]))
+    masses = F.broadcast(table(spark, d, "species_mass").select("kind", F.col("species").alias("of"), F.col("molar_mass")).dropDuplicates(["kind", "of"]))
+    ligands = F.broadcast(table(spark, d, "ligand_catalog").select(F.col("name").alias("of"), "molar_mass").dropDuplicates(["of"]))
+
+    def part(df, record, field, column_unit, raw, comment, subject, of, mass):
+        stated = stated_number(F.col(raw))
+        recorded = number_or_null(F.col(field))
+        rows = df.select(
+            F.col(record).alias("record_id"), F.lit(field).alias("field_name"), F.col("source_file").alias("device"), F.coalesce(recorded, stated).alias("value"), recorded.isNull().alias("unrecorded"),
+            F.lit(column_unit).alias("column_unit"), stated_unit(F.col(raw)).alias("value_unit"), noted_unit(F.col(comment), subject).alias("comment_unit"), F.col(of).alias("of"),
+        )
+        return rows.where(F.col("value").isNotNull()).join(mass, "of", "left").join(known, ["device", "field_name"], "left")
+
+    curated = table(spark, d, "dataset_all_metals")
+    process = table(spark, d, "corpus_records")
+    species = lambda kind: masses.where(F.col("kind") == kind).drop("kind")
+    return (
+        part(curated, "canonical_measurement_id", "acid_concentration_M", "M", "acid_concentration_raw", "comments_raw", ACID, "acid_primary", species("acid"))
+        .unionByName(part(curated, "canonical_measurement_id", "extractant_primary_concentration_M", "M", "extractant_concentration_raw", "comments_raw", LIGAND, "extractant_primary_name", ligands))
+        .unionByName(part(process, "record_id", "metal_initial_mM", "mM", "metal_initial_text", "comments", METAL, "metal", species("metal")))
+    )
+
+
+def _decoded(spark, d):
+    return decode_units(_records(spark, d), keep=("unrecorded",))
+
+
+def _same(a, b):
+    """Whether two units give a quantity the same number."""
+    scale = lambda u: F.coalesce(*[F.when(u == k, F.lit(v)) for k, v in MICROMOLES.items()])
+    return F.coalesce(a == b, F.lit(False)) | F.coalesce(scale(a) == scale(b), F.lit(False))
+
+
+def p7_found(spark, d):
+    """Numbers that are not in their column's unit, and stated quantities whose number is missing."""
+    out = _decoded(spark, d).where(F.col("unrecorded") | ~_same(F.col("unit"), F.col("column_unit")))
+    um = significant(micromolar(F.col("value"), F.col("unit"), F.col("molar_mass")), 2)
+    return out.select("record_id", "field_name", F.round(um).cast("long").alias("value_um")).where(F.col("value_um").isNotNull()).distinct()
+
+
+def p7_units(spark, d):
+    """How many records of each field were written in each unit."""
+    return _decoded(spark, d).groupBy("field_name", "unit").agg(F.count_distinct("record_id").alias("n_records"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_units": p7_units}
 SQL = {}
