@@ -48,7 +48,7 @@ def is_filled(df, name: str) -> Column:
     """True where column `name` of df holds a usable value; the test follows the column's type."""
     kind = df.schema[name].dataType.typeName()
     if kind in ("double", "float"):
-        return F.coalesce(~F.isnan(F.col(name)), F.lit(False))
+        return F.col(name).isNotNull() & ~F.isnan(F.col(name))
     if kind == "string":
         return ~is_blank(F.col(name))
     return F.col(name).isNotNull()
