@@ -72,5 +72,6 @@ def micromolar(value: Column, unit: Column, molar_mass: Column) -> Column:
 
 def significant(x: Column, digits: int) -> Column:
     """x rounded to so many significant digits, as a double; 0 stays 0."""
-    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * scale) / scale)
+    place = F.lit(digits - 1) - F.floor(F.log10(F.abs(x))).cast("int")
+    scaled = F.round(x * F.pow(F.lit(10.0), place))
+    return F.when(x == 0, F.lit(0.0)).when(place > 0, scaled / F.pow(F.lit(10.0), place)).otherwise(scaled * F.pow(F.lit(10.0), -place))
