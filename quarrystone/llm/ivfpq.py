@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from quarrystone.sources.tables import cut
 
 SAMPLE = 40_960
-SUBSPACES = 16
-CODES = 256
-SHORTLIST = 48  # per query and list, ranked again exactly
+SUBSPACES = 8
+CODES = 64
+SHORTLIST = 32  # per query and list, ranked again exactly
 BLOCK = 4_096  # entries of a list's block
 QUERIES = 65_536  # queries of a list's block
 
@@ -137,7 +137,7 @@ def _search(q_bits: np.ndarray, q_id: np.ndarray, d_bits: np.ndarray, d_id: np.n
     return [np.concatenate(p) for p in zip(*parts, strict=True)]
 
 
-def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 32, length: int = 256) -> tuple[DataFrame, DataFrame]:
+def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 24, length: int = 256) -> tuple[DataFrame, DataFrame]:
     """(entries, neighbours) of a (id, bits) table.
 
     entries: (entry, bits, ids, n_listed): each different vector with its
@@ -196,7 +196,7 @@ def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int
     return entries, near.withColumn("place", place).where(F.col("place") <= k)
 
 
-def similar_pairs(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 32, length: int = 256) -> DataFrame:
+def similar_pairs(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 24, length: int = 256) -> DataFrame:
     """(a, b) with a < b: ids of which at least one has the other among its k most similar others of similarity >= least, ties won by the smaller id."""
     packed = cut(packed)
     entries, near = most_similar(packed, k, least, probes, length)
