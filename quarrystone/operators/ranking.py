@@ -21,10 +21,10 @@ def expected_top1(df: DataFrame, by: list[str], score: str, truth: str) -> DataF
 
 def expected_topk(df: DataFrame, by: list[str], score: str, good: Column, k: int) -> DataFrame:
     """Per group: the expected number of good items among the k best by score, items tied across the border being drawn at random."""
-    tied = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("m"), F.sum(good.cast("int")).alias("g"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    take = F.greatest(F.lit(0), F.least(F.col("m"), F.lit(k) - F.col("before")))
-    return tied.withColumn("before", before).groupBy(*by).agg(F.sum(F.col("g") * take / F.col("m")).alias("expected_good"), F.sum(take).cast("long").alias("taken"))
+    tied = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_m"), F.sum(good.cast("int")).alias("_good"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.greatest(F.lit(0), F.least(F.col("_m"), F.lit(k) - F.col("_before")))
+    return tied.withColumn("_before", before).groupBy(*by).agg(F.sum(F.col("_good") * take / F.col("_m")).alias("expected_good"), F.sum(take).cast("long").alias("taken"))
 
 
 def coverage_curve(df: DataFrame, by: list[str], confidence: str, tie: Column, error: Column, shares: list[float]) -> DataFrame:

@@ -37,11 +37,32 @@ def revealed(df: DataFrame, unit: str, row_id: str, k: int, policy: str, score:
     return keyed.withColumn("revealed", F.row_number().over(w.orderBy(by, row_id)) <= k).drop("_o")
 
 
+CHUNK = 100_000
+
+
+def _per_unit(df: DataFrame, unit: str, row_id: str, features: list[str], choose, schema: str) -> DataFrame:
+    """Runs a greedy choice on every unit. Units of more than CHUNK rows are cut by hash: each part chooses, and the choice among
+    all parts' choices counts (a core-set), so no unit is gathered in one task."""
+    rows = df.select(unit, row_id, *features)
+    large = rows.groupBy(unit).agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK).withColumn("_parts", F.ceil(F.col("_n") / CHUNK).cast("int")).drop("_n")
+    marked = rows.join(large, unit, "left")
+    small = marked.where("_parts IS NULL").select(unit, row_id, *features).groupBy(unit).applyInPandas(choose, schema)
+    cut = marked.where("_parts IS NOT NULL").withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts")).cast("int"))
+
+    def choose_part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        kept = choose(key, g)
+        return g[g[row_id].isin(kept[row_id])].drop_duplicates(row_id)[[unit, row_id, *features]]
+
+    kinds = dict(df.dtypes)
+    first = cut.select(unit, row_id, *features, "_part").groupBy(unit, "_part").applyInPandas(choose_part, ", ".join(f"{c} {kinds[c]}" for c in (unit, row_id, *features)))
+    return small.unionByName(first.groupBy(unit).applyInPandas(choose, schema))
+
+
 def maxmin_order(df: DataFrame, unit: str, row_id: str, features: list[str], k: int) -> DataFrame:
     """(unit, row_id, step): greedy k-centre: first the row nearest the unit's mean, then each time the row farthest from all chosen; ties to smaller ids."""
     kinds = dict(df.dtypes)
 
-    def choose(key, g: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.dropna(subset=features).sort_values(row_id, kind="stable").drop_duplicates(row_id)
         x = g[features].to_numpy(float)
         if not len(x):
@@ -56,14 +77,14 @@ def maxmin_order(df: DataFrame, unit: str, row_id: str, features: list[str], k:
             far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
         return pd.DataFrame({unit: g[unit].iloc[chosen].to_numpy(), row_id: g[row_id].iloc[chosen].to_numpy(), "step": np.arange(len(chosen), dtype=np.int32)})
 
-    return df.select(unit, row_id, *features).groupBy(unit).applyInPandas(choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
+    return _per_unit(df, unit, row_id, features, choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
 
 
 def d_optimal(df: DataFrame, unit: str, row_id: str, features: list[str], k: int, ridge: float = 1e-3) -> DataFrame:
     """(unit, row_id, step): greedy D-optimal rows: each maximises the determinant of the information matrix."""
     kinds = dict(df.dtypes)
 
-    def choose(key, g: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.dropna(subset=features).sort_values(row_id, kind="stable").drop_duplicates(row_id)
         x = np.column_stack([np.ones(len(g)), g[features].to_numpy(float)])
         inverse, chosen = np.eye(x.shape[1]) / ridge, []
@@ -76,7 +97,7 @@ def d_optimal(df: DataFrame, unit: str, row_id: str, features: list[str], k: int
             inverse = inverse - np.outer(u, u) / (1 + x[i] @ u)
         return pd.DataFrame({unit: g[unit].iloc[chosen].to_numpy(), row_id: g[row_id].iloc[chosen].to_numpy(), "step": np.arange(len(chosen), dtype=np.int32)})
 
-    return df.select(unit, row_id, *features).groupBy(unit).applyInPandas(choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
+    return _per_unit(df, unit, row_id, features, choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
 
 
 def baseline_chain(train: DataFrame, test: DataFrame, levels: list[list[str]], y: str) -> DataFrame:

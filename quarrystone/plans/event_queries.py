@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions.clean import label_key, number_or_null
+from quarrystone.functions.text import nfkc, parse_mixture, parse_state, split_components, state_text, weighted_property
 from quarrystone.plans.metric_queries import rounded
 from quarrystone.sources.files import manifest, pending
 from quarrystone.sources.tables import table
@@ -73,7 +74,30 @@ def stable_hashes(spark, d):
     return t.select("k", (F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long") % 2147483648).alias("h"))
 
 
-QUERIES = {f.__name__: f for f in (tumbling_windows, sliding_windows, session_windows, first_deliveries, pending_publications, file_manifest, list_columns, vocabulary_counts, mass_action, interval_distances, stable_hashes)}
+def note_counts(spark, d):
+    t = table(spark, d, "dataset_all_metals", "comments_raw")
+    return t.select(F.explode(split_components(F.col("comments_raw"), ";")).alias("note")).groupBy("note").agg(F.count("*").alias("n"))
+
+
+def state_keys(spark, d):
+    t = table(spark, d, "dataset_all_metals", "metal_symbol", "metal_oxidation_state")
+    s = state_text(F.col("metal_symbol"), F.col("metal_oxidation_state"))
+    return t.select(s.alias("state"), parse_state(s).alias("p")).groupBy("state", F.col("p.oxidation").alias("oxidation")).agg(F.count("*").alias("n"))
+
+
+def mixture_properties(spark, d):
+    """Mixtures of two part names read back from text, with their price-like property weighted by volume."""
+    t = table(spark, d, "part", "p_partkey", "p_brand", "p_size")
+    text = F.concat(F.col("p_brand"), F.lit(" with "), (F.col("p_size") % 50).cast("string"), F.lit("% modifier"))
+    known = F.create_map(F.col("p_brand"), F.lit(100.0), F.lit("modifier"), F.lit(200.0))
+    return t.select("p_partkey", F.round(weighted_property(parse_mixture(text), known), 6).alias("value"))
+
+
+def folded_names(spark, d):
+    return table(spark, d, "dataset", "extractant_name").groupBy(nfkc(F.col("extractant_name")).alias("name")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (tumbling_windows, sliding_windows, session_windows, first_deliveries, pending_publications, file_manifest, list_columns, vocabulary_counts, mass_action, interval_distances, stable_hashes, note_counts, state_keys, mixture_properties, folded_names)}
 _H6 = "time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')"
 _CR = "(SELECT DISTINCT record_id, acid_nominal_M, ligand_M, temperature_C FROM corpus_records)"
 SQL = {
@@ -87,4 +111,7 @@ SQL = {
     "mass_action": f"SELECT record_id, round(a, 6) AS log_acid, round(l, 6) AS log_ligand, round(a * l, 6) + 0.0 AS product FROM (SELECT record_id, CASE WHEN NOT isnan(acid_nominal_M) AND acid_nominal_M > 0 THEN log10(acid_nominal_M) END AS a, CASE WHEN NOT isnan(ligand_M) AND ligand_M > 0 THEN log10(ligand_M) END AS l FROM {_CR})",
     "interval_distances": f"SELECT record_id, round(CASE WHEN temperature_C IS NULL OR isnan(temperature_C) THEN 0.0 ELSE greatest(20.0 - temperature_C, temperature_C - 30.0, 0.0) END, 6) AS distance FROM {_CR}",
     "stable_hashes": "SELECT k, CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) % 2147483648 AS h FROM (SELECT DISTINCT CASE WHEN chemotype IS NOT NULL AND lower(trim(chemotype)) NOT IN ('', '-', '- -', 'n/a', '?', 'none', 'nan') THEN regexp_replace(lower(chemotype), '[^a-z0-9]+', '', 'g') END AS k FROM dataset) WHERE k IS NOT NULL",
+    "note_counts": "SELECT note, count(*) AS n FROM (SELECT trim(regexp_replace(unnest(string_split(comments_raw, ';')), '\\s+', ' ', 'g')) AS note FROM dataset_all_metals) WHERE lower(note) NOT IN ('', '-', '- -', 'n/a', '?', 'none', 'nan') GROUP BY 1",
+    "state_keys": "SELECT metal_symbol || '(' || ['0','I','II','III','IV','V','VI','VII'][CAST(o AS INT) + 1] || ')' AS state, CASE WHEN o BETWEEN 0 AND 7 AND o = floor(o) THEN CAST(o AS INT) END AS oxidation, count(*) AS n FROM (SELECT metal_symbol, CASE WHEN NOT isnan(metal_oxidation_state) THEN metal_oxidation_state END AS o FROM dataset_all_metals) GROUP BY ALL",
+    "mixture_properties": "SELECT p_partkey, round(((1 - (p_size % 50) / 100) * 100.0 + (p_size % 50) / 100 * 200.0), 6) AS value FROM part",
 }

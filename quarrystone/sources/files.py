@@ -17,7 +17,7 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     """A folder of CSV files with every field as text, nothing turned to NULL, plus source_file; a missing or surplus header fails when read."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("nullValue", "\x00").option("emptyValue", "").csv(path)
-    return df.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns], F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"))
 
 
 def read_joined_csv(spark: SparkSession, path: str, id_column: str) -> DataFrame:
@@ -74,6 +74,16 @@ def text_as_nested(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.from_json(c, kinds[c]).alias(c) if isinstance(kinds.get(c), nested) else F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in df.columns])
 
 
+def write_nested_csv(df: DataFrame, path: str) -> None:
+    """df as CSV with its nested columns as JSON text."""
+    nested_as_text(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_nested_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What write_nested_csv wrote, in its former types."""
+    return text_as_nested(spark.read.option("header", True).option("escape", '"').csv(path), schema)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of every file under a folder, hashed by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
