@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.sources.tables import cut
+
 
 @dataclass(frozen=True)
 class Field:
@@ -66,14 +68,14 @@ def predictive_mean_fill(
     seen = long.where(F.col("value").isNotNull())
 
     # Cells: the sufficient statistics of (coarse, fine, field), and the observed row nearest to what most rows of it say.
-    cells = seen.groupBy("_coarse", "_fine", "field_name", "value").agg(F.count("*").alias("n"), F.min("_id").alias("donor")).groupBy("_coarse", "_fine", "field_name").agg(
+    cells = cut(seen.groupBy("_coarse", "_fine", "field_name", "value").agg(F.count("*").alias("n"), F.min("_id").alias("donor")).groupBy("_coarse", "_fine", "field_name").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("value")).alias("s1"),
         F.sum(F.col("n") * F.col("value") * F.col("value")).alias("s2"),
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.max(F.struct(F.col("n"), (-F.length(F.col("value").cast("string"))).alias("l"), (-F.col("value")).alias("v"), F.col("donor"))).alias("top"),
-    )
+    ))  # read three times below
     by_coarse = cells.where(F.col("_coarse").isNotNull()).groupBy("_coarse", "field_name").agg(
         F.sum("n").alias("c_n"), F.sum("s1").alias("c_s1"), F.min("low").alias("c_low"), F.max("high").alias("c_high"),
     )
