@@ -72,3 +72,37 @@ def transitive_scores(pairs: DataFrame, cell: str, a: str, b: str, p: str) -> Da
     """Per cell of a complete pair table, the scores nearest to all pair predictions: the mean prediction of each item against all others (0 against itself)."""
     both = pairs.select(cell, F.col(a).alias("item"), F.col(p).alias("p")).union(pairs.select(cell, F.col(b), -F.col(p)))
     return both.groupBy(cell, "item").agg((F.sum("p") / (F.count("*") + 1)).alias("score"))
+
+
+def series_kinds(members: DataFrame, rows: DataFrame, series: str, row_id: str) -> DataFrame:
+    """Per series: its rows, its curves' axes, and its kind: 'single_point', '<axis>_sweep', 'grid' (several axes) or 'unusable'."""
+    size = rows.where(F.col(series).isNotNull()).groupBy(F.col(series).alias("series")).agg(F.count_distinct(row_id).alias("n_rows"))
+    axes = members.groupBy("series", "axis").agg(F.count_distinct("row_id").alias("n")).groupBy("series").agg(F.count("*").alias("n_axes"), F.max_by("axis", F.struct("n", "axis")).alias("axis"))
+    kind = F.when(F.col("n_rows") == 1, "single_point").when(F.col("n_axes").isNull(), "unusable").when(F.col("n_axes") > 1, "grid").otherwise(F.concat("axis", F.lit("_sweep")))
+    return size.join(axes, "series", "left").select("series", "n_rows", F.coalesce("n_axes", F.lit(0).cast("long")).alias("n_axes"), kind.alias("kind"))
+
+
+def shape_against(members: DataFrame, values: DataFrame, row_id: str, truth: str, guess: str) -> DataFrame:
+    """Per curve: slopes of truth and guess, how much of the true span the guess spans, and the mean error once both are centred."""
+    pts = members.join(values.select(F.col(row_id).alias("row_id"), F.col(truth).alias("y"), F.col(guess).alias("p")), "row_id").where("y IS NOT NULL AND p IS NOT NULL")
+    w = Window.partitionBy("curve_id")
+    e = F.abs((F.col("y") - F.avg("y").over(w)) - (F.col("p") - F.avg("p").over(w)))
+    span = lambda c: F.max(c) - F.min(c)
+    return pts.withColumn("e", e).groupBy("curve_id", "axis").agg(F.regr_slope("y", "axis_value").alias("true_slope"), F.regr_slope("p", "axis_value").alias("guess_slope"), F.when(span("y") > 0, span("p") / span("y")).alias("span_recovery"), F.avg("e").alias("shape_mae"), F.count("*").alias("n"))
+
+
+def decoys(members: DataFrame, drop_every: int, shift: float) -> DataFrame:
+    """Perturbed copies of every curve: 'drop' without every n-th point in order, 'shift' with the axis moved, 'far' with one point beyond the end."""
+    w = Window.partitionBy("curve_id").orderBy("axis_value", "row_id")
+    ranked = members.withColumn("_r", F.row_number().over(w))
+    cols = ["curve_id", "row_id", "axis_value"]
+    drop = ranked.where(F.col("_r") % drop_every != 0).select(F.lit("drop").alias("variant"), *cols)
+    moved = members.select(F.lit("shift").alias("variant"), "curve_id", "row_id", (F.col("axis_value") + shift).alias("axis_value"))
+    far = members.groupBy("curve_id").agg((2 * F.max("axis_value") - F.min("axis_value")).alias("axis_value")).select(F.lit("far").alias("variant"), "curve_id", F.concat(F.lit("far:"), "curve_id").alias("row_id"), "axis_value")
+    return drop.unionByName(moved).unionByName(far)
+
+
+def candidates(template: DataFrame, keys: list[str], column: str, values: list[float]) -> DataFrame:
+    """Synthetic points: every template row with each of the listed values of one column, a deterministic id and no target."""
+    grid = template.select(*keys, F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
+    return grid.withColumn("candidate_id", F.substring(F.sha1(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.format_number(column, 6))), 1, 16))
