@@ -70,4 +70,16 @@ def p4_balance(spark, d):
 
 
 QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_balance": p4_balance}
-SQL = {}
+_DOIS = r"list_distinct(list_filter(list_transform(regexp_extract_all(lower(doi), '10\.\d{4,9}/[^\s,;|\"<>]+'), lambda x: regexp_replace(x, '[.)\]]+$', '')), lambda x: x <> '10.99000/archive.self'))"
+_CHEM = "CASE WHEN chemotype IS NOT NULL AND lower(trim(chemotype)) NOT IN ('', '-', '- -', 'n/a', '?', 'none', 'nan') THEN 'c:' || regexp_replace(lower(chemotype), '[^a-z0-9]+', '', 'g') END"
+SQL = {
+    "p4_found": f"""
+WITH RECURSIVE r AS (SELECT DISTINCT list_filter(list_concat(list_transform(coalesce({_DOIS}, []), lambda p: 'p:' || p), ['e:' || extractant, {_CHEM}]), lambda x: x IS NOT NULL) AS n FROM dataset
+  UNION ALL SELECT list_filter(['p:' || lower(publication), 'g:' || group_cross_publication_copy], lambda x: x IS NOT NULL) FROM leakage_publication_components WHERE publication IS NOT NULL),
+e0 AS (SELECT DISTINCT n[1] AS a, unnest(n) AS b FROM r WHERE len(n) > 0), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+w AS (SELECT 'p:' || lower(publication) AS node, 'p:' || lower(publication) AS seen FROM leakage_publication_components WHERE publication IS NOT NULL UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a),
+c AS (SELECT node, min(seen) AS component FROM w GROUP BY node),
+m AS (SELECT DISTINCT publication, component FROM leakage_publication_components JOIN c ON node = 'p:' || lower(publication)), f AS (SELECT component, min(publication) AS publication_a FROM m GROUP BY 1)
+SELECT publication_a, publication AS publication_b FROM m JOIN f USING (component) WHERE publication > publication_a
+"""
+}
