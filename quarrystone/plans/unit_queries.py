@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions.clean import number_or_null
-from quarrystone.functions.units import MICROMOLES, micromolar, noted_unit, significant, stated_number, stated_unit
+from quarrystone.functions.units import MICROGRAMS, MICROMOLES, SPELLINGS, micromolar, noted_unit, significant, stated_number, stated_unit
 from quarrystone.operators.unit_hmm import decode_units
 from quarrystone.sources.tables import table
 
@@ -61,4 +61,46 @@ def p7_units(spark, d):
 
 
 QUERIES = {"p7_found": p7_found, "p7_units": p7_units}
-SQL = {}
+
+
+def _packed(c):
+    return f"regexp_replace(translate(lower({c}), '⁻−¹²³µμ', '--123uu'), '[\\s ·⋅]+', '', 'g')"
+
+
+_NUMBER = r"^(?:~|≈|ca\.?|c=|approx\.?|about)*([-+]?\d+(?:[.,]\d+)?)(?:[x×*]10\^?([-+]?\d+)|e([-+]?\d+))?(.*)$"
+
+
+def _unit(c):
+    whens = " ".join(f"WHEN replace({c}, '^', '') IN ({', '.join(repr(x) for x in names)}) THEN '{unit}'" for unit, names in SPELLINGS.items())
+    return f"CASE {whens} END"
+
+
+def _part(table_, record, field, column_unit, raw, comment, subject, of, masses):
+    any_ = "|".join(sorted((x for names in SPELLINGS.values() for x in names), key=len, reverse=True))
+    group = lambda i: f"regexp_extract({_packed(raw)}, '{_NUMBER}', {i})"
+    note = f"list_transform(list_filter(string_split(lower({comment}), ';'), lambda x: regexp_matches(x, '{subject}')), lambda x: regexp_extract(replace({_packed('x')}, '^', ''), '({any_})\\.?$', 1))"
+    blank = f"({raw} IS NULL OR lower(trim({raw})) IN ('', '-', '- -', 'n/a', '?', 'none', 'nan'))"
+    return f"""SELECT {record} AS record_id, '{field}' AS field_name, '{column_unit}' AS column_unit, CASE WHEN NOT isnan({field}) THEN {field} END AS v,
+  CASE WHEN NOT {blank} THEN TRY_CAST(replace({group(1)}, ',', '.') || CASE WHEN {group(2)} || {group(3)} <> '' THEN 'e' || {group(2)} || {group(3)} ELSE '' END AS DOUBLE) END AS stated,
+  coalesce({_unit(group(4))}, {_unit(f"list_last(list_filter({note}, lambda u: u <> ''))")}, s.unit) AS unit, k.molar_mass AS mass
+FROM {table_} t LEFT JOIN source_units s ON s.source_file = t.source_file AND s.field_name = '{field}' LEFT JOIN ({masses}) k ON k.of = t.{of}"""
+
+
+_UM = "CASE " + " ".join(f"WHEN unit = '{u}' THEN x * {f}" for u, f in MICROMOLES.items()) + " " + " ".join(f"WHEN unit = '{u}' THEN x * {f} / mass" for u, f in MICROGRAMS.items()) + " END"
+_SCALE = "CASE u WHEN " + " WHEN ".join(f"'{u}' THEN {f}" for u, f in MICROMOLES.items()) + " END"
+SQL = {
+    "p7_found": "WITH p AS (\n"
+    + "\nUNION ALL\n".join(
+        (
+            _part("dataset_all_metals", "canonical_measurement_id", "acid_concentration_M", "M", "acid_concentration_raw", "comments_raw", ACID, "acid_primary", "SELECT species AS of, molar_mass FROM species_mass WHERE kind = 'acid'"),
+            _part("dataset_all_metals", "canonical_measurement_id", "extractant_primary_concentration_M", "M", "extractant_concentration_raw", "comments_raw", LIGAND, "extractant_primary_name", "SELECT name AS of, molar_mass FROM ligand_catalog"),
+            _part("corpus_records", "record_id", "metal_initial_mM", "mM", "metal_initial_text", "comments", METAL, "metal", "SELECT species AS of, molar_mass FROM species_mass WHERE kind = 'metal'"),
+        )
+    )
+    + f"""),
+q AS (SELECT *, coalesce(v, stated) AS x FROM p),
+w AS (SELECT record_id, field_name, {_UM} AS um FROM q WHERE x IS NOT NULL AND (v IS NULL OR NOT coalesce(unit = column_unit OR {_SCALE.replace('CASE u', 'CASE unit')} = {_SCALE.replace('CASE u', 'CASE column_unit')}, false)))
+SELECT DISTINCT record_id, field_name, CAST(round(CASE WHEN um = 0 THEN 0 WHEN 1 - floor(log10(abs(um))) > 0 THEN round(um * pow(10.0, 1 - floor(log10(abs(um))))) / pow(10.0, 1 - floor(log10(abs(um)))) ELSE round(um * pow(10.0, 1 - floor(log10(abs(um))))) * pow(10.0, floor(log10(abs(um))) - 1) END) AS BIGINT) AS value_um
+FROM w WHERE um IS NOT NULL
+"""
+}
