@@ -31,7 +31,7 @@ def cluster_bootstrap_ci(spark, d):
 
 
 def bootstrap_by_unit(spark, d):
-    return rounded(B.bootstrap_interval(B.block_sums(panel(spark, d).where("block = 'Brand#11'"), "unit", _delta()), 100, 29), 7)
+    return rounded(B.bootstrap_interval(B.block_sums(panel(spark, d), "unit", _delta()), 100, 29), 7)
 
 
 def jackknife_influence(spark, d):
@@ -100,8 +100,8 @@ def neighbour_labels(spark, d):
 
 
 def similarity_clusters(spark, d):
-    """Single-linkage clusters of the structures of the first ten chemotypes at similarity 0.7."""
-    v = _binary(spark, d).join(table(spark, d, "d5_error_anatomy", "extractant", "band").where("band = 'mid'").select("extractant").distinct(), "extractant", "left_semi")
+    """Single-linkage clusters of all usable structures at similarity 0.7: each structure with its cluster."""
+    v = _binary(spark, d)
     links = S.similarity_links(v, "structure_id", "fingerprint", 0.7)
     both = links.union(v.select(F.col("structure_id").alias("a"), F.col("structure_id").alias("b")))
     return connected_components(both.select(F.col("a").cast("long"), F.col("b").cast("long"))).select(F.col("node").alias("structure_id"), F.col("component").alias("cluster"))
@@ -242,8 +242,8 @@ from quarrystone.plans.metric_queries import _PANEL  # noqa: E402
 _D = "abs(y - arm_net) - abs(y - arm_flat)"
 
 
-def _blocks_sql(block="block", where=""):
-    return _PANEL + f", g0 AS (SELECT {block} AS block, CAST(count(*) AS DOUBLE) AS n, sum({_D}) AS s, sum(({_D}) * ({_D})) AS s2 FROM panel {where} GROUP BY 1), g AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(block AS VARCHAR))) - 1 AS slot FROM g0)\n"
+def _blocks_sql(block="block"):
+    return _PANEL + f", g0 AS (SELECT {block} AS block, CAST(count(*) AS DOUBLE) AS n, sum({_D}) AS s, sum(({_D}) * ({_D})) AS s2 FROM panel GROUP BY 1), g AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(block AS VARCHAR))) - 1 AS slot FROM g0)\n"
 
 
 def _u(*parts):
@@ -264,7 +264,7 @@ _COS = "e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v, label FROM e
 _T = "sum(w) / sqrt(sum(w * w) - 2 * sum(w) / (SELECT sum(n) FROM g) * sum(w * n) + pow(sum(w) / (SELECT sum(n) FROM g), 2) * sum(n * n))"
 SQL = {
     "cluster_bootstrap_ci": _boot_sql(200, 13),
-    "bootstrap_by_unit": _boot_sql(100, 29, block="unit", where="WHERE block = 'Brand#11'"),
+    "bootstrap_by_unit": _boot_sql(100, 29, block="unit"),
     "jackknife_influence": _blocks_sql() + "SELECT block, round((t - s) / (m - n), 7) AS without, round((t - s) / (m - n) - t / m, 7) AS influence FROM g, (SELECT sum(s) AS t, sum(n) AS m FROM g)",
     "cluster_robust_se": _blocks_sql() + """, k AS (SELECT sum(s) / sum(n) AS m, sum(n) AS nn, count(*) AS gg FROM g) SELECT round(any_value(m), 7) AS mean, round(sqrt(sum(pow(s - m * n, 2))) / any_value(nn), 7) AS cr0, round(sqrt(sum(pow(s - m * n, 2)) * any_value(gg) / (any_value(gg) - 1)) / any_value(nn), 7) AS cr1,
 round(sqrt((sum(s2) - sum(s) * sum(s) / any_value(nn)) / (any_value(nn) - 1) / any_value(nn)), 7) AS plain, count(*) AS n_blocks FROM g, k""",
@@ -277,7 +277,7 @@ round(sqrt((sum(s2) - sum(s) * sum(s) / any_value(nn)) / (any_value(nn) - 1) / a
     "nearest_neighbour_tanimoto": f"WITH {_FP}, s AS (SELECT a.i AS query, b.i AS other, list_dot_product(a.f, b.f) AS c, a.ones + b.ones AS t FROM fp a JOIN fp b ON a.i <> b.i WHERE a.i % 50 = 0), r AS (SELECT *, c / (t - c) AS s, row_number() OVER (PARTITION BY query ORDER BY c / (t - c) DESC, other) AS k FROM s) SELECT query, other, round(s, 6) AS similarity, CASE WHEN s <= 0.4 THEN 'far' WHEN s <= 0.6 THEN 'mid' ELSE 'near' END AS band FROM r WHERE k = 1",
     "cosine_topk": f"WITH {_COS} SELECT query, other, round(s, 5) AS similarity, CAST(place AS INT) AS place FROM k WHERE place <= 5",
     "neighbour_labels": f"WITH {_COS} SELECT query, array_to_string(list_sort(list(DISTINCT label)), ';') AS labels FROM k WHERE place <= 5 GROUP BY query",
-    "similarity_clusters": f"""WITH RECURSIVE {_FP}, v AS (SELECT * FROM fp WHERE extractant IN (SELECT extractant FROM d5_error_anatomy WHERE band = 'mid')), l AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON list_dot_product(a.f, b.f) / (a.ones + b.ones - list_dot_product(a.f, b.f)) >= 0.7 OR a.i = b.i),
+    "similarity_clusters": f"""WITH RECURSIVE {_FP}, v AS (SELECT * FROM fp), l AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON list_dot_product(a.f, b.f) / (a.ones + b.ones - list_dot_product(a.f, b.f)) >= 0.7 OR a.i = b.i),
 r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT node AS structure_id, min(seen) AS cluster FROM r GROUP BY node""",
     "source_components": f"""WITH RECURSIVE e0 AS (SELECT DISTINCT 'e:' || extractant AS a, 'p:' || p AS b FROM (SELECT extractant, unnest({_DOIS}) AS p FROM dataset)), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
 r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS n_nodes, count(*) FILTER (WHERE node LIKE 'p:%') AS n_publications FROM c GROUP BY 1""",
