@@ -88,19 +88,20 @@ FROM {table_} t LEFT JOIN source_units s ON s.source_file = t.source_file AND s.
 
 _UM = "CASE " + " ".join(f"WHEN unit = '{u}' THEN x * {f}" for u, f in MICROMOLES.items()) + " " + " ".join(f"WHEN unit = '{u}' THEN x * {f} / mass" for u, f in MICROGRAMS.items()) + " END"
 _SCALE = "CASE u WHEN " + " WHEN ".join(f"'{u}' THEN {f}" for u, f in MICROMOLES.items()) + " END"
-SQL = {
-    "p7_found": "WITH p AS (\n"
-    + "\nUNION ALL\n".join(
+_PARTS = "WITH p AS (\n" + "\nUNION ALL\n".join(
         (
             _part("dataset_all_metals", "canonical_measurement_id", "acid_concentration_M", "M", "acid_concentration_raw", "comments_raw", ACID, "acid_primary", "SELECT species AS of, molar_mass FROM species_mass WHERE kind = 'acid'"),
             _part("dataset_all_metals", "canonical_measurement_id", "extractant_primary_concentration_M", "M", "extractant_concentration_raw", "comments_raw", LIGAND, "extractant_primary_name", "SELECT name AS of, molar_mass FROM ligand_catalog"),
             _part("corpus_records", "record_id", "metal_initial_mM", "mM", "metal_initial_text", "comments", METAL, "metal", "SELECT species AS of, molar_mass FROM species_mass WHERE kind = 'metal'"),
         )
     )
+SQL = {
+    "p7_found": _PARTS
     + f"""),
 q AS (SELECT *, coalesce(v, stated) AS x FROM p),
 w AS (SELECT record_id, field_name, {_UM} AS um FROM q WHERE x IS NOT NULL AND (v IS NULL OR NOT coalesce(unit = column_unit OR {_SCALE.replace('CASE u', 'CASE unit')} = {_SCALE.replace('CASE u', 'CASE column_unit')}, false)))
 SELECT DISTINCT record_id, field_name, CAST(round(CASE WHEN um = 0 THEN 0 WHEN 1 - floor(log10(abs(um))) > 0 THEN round(um * pow(10.0, 1 - floor(log10(abs(um))))) / pow(10.0, 1 - floor(log10(abs(um)))) ELSE round(um * pow(10.0, 1 - floor(log10(abs(um))))) * pow(10.0, floor(log10(abs(um))) - 1) END) AS BIGINT) AS value_um
 FROM w WHERE um IS NOT NULL
-"""
+""",
+    "p7_units": _PARTS + "), q AS (SELECT * FROM p WHERE coalesce(v, stated) IS NOT NULL) SELECT field_name, unit, count(DISTINCT record_id) AS n_records FROM q GROUP BY ALL",
 }

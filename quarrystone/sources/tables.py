@@ -16,10 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    Only where neither the setting nor the context names a folder, as in local tests, one is made.
+    Only where neither the setting nor the context names a folder, in a local session such as a test's, one is made;
+    a cluster without a shared folder is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrystone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrystone-"))
     return df.checkpoint(eager)
