@@ -49,10 +49,17 @@ WITH r AS (
   FROM dataset_all_metals
   WHERE regexp_matches(lower(trim(duplicate_class)), '^(a|b)([ _].*)?$') AND duplicate_group_id IS NOT NULL)
 """
+_GOOD = {c: f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN {c} END" for c in FIELDS[:5]} | {c: f"CASE WHEN {c} IS NOT NULL AND lower(trim({c})) NOT IN {_BLANK} THEN {c} END" for c in FIELDS[5:]}
 SQL = {
     "p1_found": _BASE
     + """, m AS (SELECT g, max(filled) AS f, max(recent) AS d, min(suspect) AS s, count(*) AS n FROM r GROUP BY g)
 SELECT g AS duplicate_group_id, min(i) AS canonical_measurement_id
 FROM r JOIN m USING (g) WHERE n >= 2 AND filled = f AND recent = d AND suspect = s GROUP BY g HAVING count(*) = 1
-"""
+""",
+    "p1_survivors": _BASE
+    + f""", b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY filled DESC, suspect, recent DESC, i) AS k FROM r),
+v AS (SELECT DISTINCT r.g, r.i, r.suspect, r.recent, {', '.join(f'{e} AS {c}' for c, e in _GOOD.items())} FROM r JOIN dataset_all_metals ON canonical_measurement_id = r.i),
+m AS (SELECT g, {', '.join(f'arg_min({c}, (suspect, -recent, i)) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in FIELDS)} FROM v GROUP BY g)
+SELECT g AS group_id, b.i AS rec_id, CAST(b.filled AS INT) AS filled, CAST(b.suspect AS INT) AS suspect, CASE WHEN b.recent >= 0 THEN b.recent END AS recent, {', '.join(f'm.{c}' for c in FIELDS)} FROM b JOIN m USING (g) WHERE k = 1
+""",
 }

@@ -40,10 +40,9 @@ _END = "rtrim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12) ||
 _LAST = f"trim(list_last(string_split({_END}, chr(10))))"
 _CLOSED = r"[.。．!！?？…][)\]}\"'”’»」』]*$".replace("'", "''")
 _FORMED = " OR ".join(f"regexp_matches({_LAST}, '{form}')" for form in LINE_FORMS)
-SQL = {
-    "p10_found": f"""
-WITH d AS (SELECT doc_id, source, {_END} AS e, length(text) AS c, octet_length(encode(rtrim(text, chr(65533)))) AS b, regexp_matches({_END}, '{_CLOSED}') OR {_FORMED} AS complete, text FROM documents WHERE text IS NOT NULL),
-u AS (SELECT DISTINCT source, md5(text) AS h, c, b FROM d),
+_BASE = f"""
+WITH d AS (SELECT doc_id, source, {_END} AS e, length(text) AS c, octet_length(encode(rtrim(text, chr(65533)))) AS b, coalesce(regexp_matches({_END}, '{_CLOSED}') OR {_FORMED}, true) AS complete, text FROM documents),
+u AS (SELECT DISTINCT source, md5(text) AS h, c, b FROM d WHERE text IS NOT NULL),
 bars AS (SELECT source, 'chars' AS kind, c AS len, 1 AS slack, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT source, 'bytes', b, 4, count(*) FROM u GROUP BY ALL),
 w AS (SELECT *, max(len) OVER (PARTITION BY source, kind) AS longest FROM bars),
 x AS (SELECT *, max(CASE WHEN len >= 0.95 * longest THEN (n, len) END) OVER (PARTITION BY source, kind) AS t FROM w WHERE len >= 0.8 * longest),
@@ -52,8 +51,11 @@ l AS (SELECT source, kind, top FROM y GROUP BY source, kind, top, slack
   HAVING coalesce(sum(n) FILTER (WHERE len > top - slack AND len <= top), 0) >= 5
      AND coalesce(sum(n) FILTER (WHERE len > top - slack AND len <= top), 0) >= 5 * slack * coalesce(sum(n) FILTER (WHERE len <= top - slack), 0) / greatest(0.2 * top, 1.0)
      AND coalesce(sum(n) FILTER (WHERE len > top), 0) <= 0.1 * coalesce(sum(n) FILTER (WHERE len > top - slack AND len <= top), 0)),
-lim AS (SELECT source, max(top) FILTER (WHERE kind = 'chars') AS c0, max(top) FILTER (WHERE kind = 'bytes') AS b0 FROM l GROUP BY source)
-SELECT DISTINCT doc_id FROM d LEFT JOIN lim ON d.source IS NOT DISTINCT FROM lim.source
-WHERE e <> '' AND (NOT complete OR ((coalesce(c >= c0, false) OR coalesce(b > b0 - 4, false)) AND regexp_matches(e, '(\\.\\.\\.|…)$')))
+lim AS (SELECT source, max(top) FILTER (WHERE kind = 'chars') AS c0, max(top) FILTER (WHERE kind = 'bytes') AS b0 FROM l GROUP BY source),
+j AS (SELECT d.*, coalesce(c >= c0, false) OR coalesce(b > b0 - 4, false) AS at_limit FROM d LEFT JOIN lim ON d.source IS NOT DISTINCT FROM lim.source),
+k AS (SELECT doc_id, source, at_limit, coalesce(e <> '', false) AND (NOT complete OR (at_limit AND coalesce(regexp_matches(e, '(\\.\\.\\.|…)$'), false))) AS cut FROM j)
 """
+SQL = {
+    "p10_found": _BASE + "SELECT DISTINCT doc_id FROM k WHERE cut",
+    "p10_report": _BASE + "SELECT source, count(*) AS n_documents, count(*) FILTER (WHERE cut) AS n_cut, count(*) FILTER (WHERE cut AND at_limit) AS n_at_limit, round(avg(CASE WHEN cut THEN 1.0 ELSE 0.0 END), 6) AS share_cut FROM k GROUP BY source",
 }
