@@ -5,7 +5,8 @@ counted; a limit is the tallest bar at the top of a source's histogram if it hol
 many more texts than the lengths below it lead to expect (in bytes the three
 lengths under it count too, since a character is not split) and next to none lie
 above it (texts to which white space was added later). A text at the limit is cut
-if it does not end as complete texts do, or ends in an added ellipsis. Away from
+if it does not end as complete texts do, or ends in an added ellipsis (then also
+up to a hundredth below the limit). Away from
 a limit, a text that ends within a word or sentence was cut in mid-transfer.
 """
 
@@ -64,6 +65,9 @@ def find_truncated(df: DataFrame, doc_id: str, text: str, source: str, line_form
     )
     limits = source_limits(df, text, source).groupBy("source").agg(F.max(F.when(F.col("kind") == "chars", F.col("top"))).alias("c"), F.max(F.when(F.col("kind") == "bytes", F.col("top"))).alias("b"))
     at = F.coalesce(F.col("chars") >= F.col("c"), F.lit(False)) | F.coalesce(F.col("bytes") > F.col("b") - 4, F.lit(False))
+    # White space before an added ellipsis is dropped, so such texts may end a little below the limit.
+    near = F.coalesce(F.col("chars") >= 0.99 * F.col("c"), F.lit(False)) | F.coalesce(F.col("bytes") >= 0.99 * F.col("b"), F.lit(False))
+    at = at | (F.col("dots") & near)
     joined = judged.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("at_limit", at)
     cut = ~F.col("blank") & (~F.col("complete") | (F.col("at_limit") & F.col("dots")))
     return joined.select("doc_id", "source", cut.alias("cut"), F.when(cut, F.when(F.col("at_limit"), "limit").otherwise("transfer")).alias("evidence"))

@@ -52,7 +52,7 @@ l AS (SELECT source, kind, top FROM y GROUP BY source, kind, top, slack
      AND coalesce(sum(n) FILTER (WHERE len > top - slack AND len <= top), 0) >= 5 * slack * coalesce(sum(n) FILTER (WHERE len <= top - slack), 0) / greatest(0.2 * top, 1.0)
      AND coalesce(sum(n) FILTER (WHERE len > top), 0) <= 0.1 * coalesce(sum(n) FILTER (WHERE len > top - slack AND len <= top), 0)),
 lim AS (SELECT source, max(top) FILTER (WHERE kind = 'chars') AS c0, max(top) FILTER (WHERE kind = 'bytes') AS b0 FROM l GROUP BY source),
-j AS (SELECT d.*, coalesce(c >= c0, false) OR coalesce(b > b0 - 4, false) AS at_limit FROM d LEFT JOIN lim ON d.source IS NOT DISTINCT FROM lim.source),
+j AS (SELECT d.*, coalesce(c >= c0, false) OR coalesce(b > b0 - 4, false) OR (coalesce(regexp_matches(e, '(\\.\\.\\.|…)$'), false) AND (coalesce(c >= 0.99 * c0, false) OR coalesce(b >= 0.99 * b0, false))) AS at_limit FROM d LEFT JOIN lim ON d.source IS NOT DISTINCT FROM lim.source),
 k AS (SELECT doc_id, source, at_limit, coalesce(e <> '', false) AND (NOT complete OR (at_limit AND coalesce(regexp_matches(e, '(\\.\\.\\.|…)$'), false))) AS cut FROM j)
 """
 SQL = {

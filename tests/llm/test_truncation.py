@@ -11,6 +11,7 @@ def _limited():
     rows = [(i, (f"{i} " + full * 9)[: 100 + i] + ".", "a", None) for i in range(60)]
     rows += [(100 + i, (f"{i} " + full * 9)[:197] + "ab", "a", None) for i in range(20)]  # 199 characters, within a word
     rows += [(200 + i, (f"{i} " + full * 9)[:196] + "...", "a", None) for i in range(5)]
+    rows += [(205, ("205 " + full * 9)[:194].rstrip() + "...", "a", None)]
     rows += [(300 + i, (f"{i} " + full * 9)[:198] + ".", "a", None) for i in range(5)]  # complete at the limit
     return rows
 
@@ -19,7 +20,7 @@ def test_limit_and_endings(spark):
     df = spark.createDataFrame(_limited(), SCHEMA)
     assert [(r["kind"], r["top"]) for r in source_limits(df, "text", "source").collect() if r["kind"] == "chars"] == [("chars", 199)]
     out = {r["doc_id"]: r for r in find_truncated(df, "doc_id", "text", "source", FORMS).collect()}
-    assert {i for i, r in out.items() if r["cut"]} == {*range(100, 120), *range(200, 205)}
+    assert {i for i, r in out.items() if r["cut"]} == {*range(100, 120), *range(200, 206)}
     assert out[100]["evidence"] == "limit" and out[0]["evidence"] is None
 
 
