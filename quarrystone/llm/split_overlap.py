@@ -69,6 +69,9 @@ def _scanner(n: int, tol: float, reach: int):
             alike = np.abs(a - b) <= tol * np.maximum(np.abs(a), np.abs(b))
         return (np.where(gone, np.isnan(a) & np.isnan(b), alike)).all(axis=1) & (np.abs(ma - mb) <= reach)
 
+    def frame_of(evals: list, trains, coverage) -> pd.DataFrame:
+        return pd.DataFrame({"eval_id": pd.Series(evals, dtype=object), "train_id": pd.Series(list(trains), dtype=object), "coverage": pd.Series(coverage, dtype=float)})
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
@@ -112,7 +115,7 @@ def _scanner(n: int, tol: float, reach: int):
                 li = np.repeat(left, [len(r) for r in right])
                 ri = np.concatenate([np.asarray(r) for r in right])
                 ok = exact(mine[li], table[ri], mill[li], measure[ri])
-                return pd.DataFrame({"eval_id": [ids[i] for i in ri[ok]], "train_id": names[li[ok]], "coverage": 1.0})
+                return frame_of([ids[i] for i in ri[ok]], names[li[ok]], np.ones(int(ok.sum())))
 
             for k, (cond, cell) in enumerate(zip(texts["cond"], texts["cell"], strict=True)):
                 text = f"{cond}{cell};"
@@ -135,7 +138,7 @@ def _scanner(n: int, tol: float, reach: int):
                 yield pairs()
         if covered is not None:
             some = np.flatnonzero(covered > 0)
-            yield pd.DataFrame({"eval_id": [ids[i] for i in some], "train_id": pd.Series([None] * len(some), dtype=object), "coverage": covered[some]})
+            yield frame_of([ids[i] for i in some], [None] * len(some), covered[some])
 
     return scan
 
