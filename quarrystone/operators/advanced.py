@@ -60,7 +60,8 @@ def blup(df: DataFrame, cell: str, item: str, value: str, covariance: DataFrame,
                 y = np.array(list(seen.values()))
                 gain = np.linalg.solve(m[np.ix_(o, o)] + noise * np.eye(len(o)), y - mu[o])
                 parts.append(pd.DataFrame({cell: name, "item": items, "estimate": mu + m[:, o] @ gain, "observed": [i in seen for i in items]}))
-            yield pd.concat(parts) if parts else pd.DataFrame({cell: [], "item": [], "estimate": [], "observed": []})
+            if parts:
+                yield pd.concat(parts)
 
     return per.mapInPandas(predict, f"{cell} {kind}, item string, estimate double, observed boolean")
 

@@ -66,7 +66,7 @@ def maxmin_order(df: DataFrame, unit: str, row_id: str, features: list[str], k:
         g = g.dropna(subset=features).sort_values(row_id, kind="stable").drop_duplicates(row_id)
         x = g[features].to_numpy(float)
         if not len(x):
-            return pd.DataFrame({unit: [], row_id: [], "step": []})
+            return pd.DataFrame({unit: g[unit].to_numpy(), row_id: g[row_id].to_numpy(), "step": np.zeros(0, dtype=np.int32)})
         sd = x.std(0)
         x = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
         chosen = [int(np.round((x * x).sum(1), 9).argmin())]

@@ -31,8 +31,9 @@ def err():
     return F.abs(F.col("y") - F.col("arm_flat"))
 
 
-def rounded(df, digits=4, keep=()):
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") and c not in keep else F.col(c) for c, t in df.dtypes])
+def rounded(df, digits=4, nudge=0.0):
+    """df with its floating columns rounded; a nudge far below the last digit moves exact ties to one side in every engine."""
+    return df.select(*[F.round(F.col(c) + nudge if nudge else F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def macro_mae_units(spark, d):
@@ -60,7 +61,7 @@ def arm_leaderboard(spark, d):
 
 
 def guarded_r2_by_unit(spark, d):
-    return rounded(M.with_reason(M.error_summary(_long(spark, d, "unit").where("arm = 'arm_flat'"), ["unit"], 25, 5.0), 25), 7)
+    return rounded(M.with_reason(M.error_summary(_long(spark, d, "unit").where("arm = 'arm_flat'"), ["unit"], 25, 5.0), 25), 4, 1e-9)
 
 
 def level_shape_decomposition(spark, d):
@@ -153,7 +154,7 @@ def coverage_table(spark, d):
 
 
 def rollup_revenue(spark, d):
-    return rounded(panel(spark, d).rollup("block", "seed").agg(F.sum("y").alias("total"), F.count("*").alias("n"), F.grouping_id().cast("long").alias("level")), 2)
+    return rounded(panel(spark, d).rollup("block", "seed").agg(F.sum("y").alias("total"), F.count("*").alias("n"), F.grouping_id().cast("long").alias("level")), 7)
 
 
 def cube_counts(spark, d):
@@ -179,7 +180,7 @@ QUERIES = {
     )
 }
 _SUMMARY = "count(*) AS n, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(avg(p - y), 4) AS bias, round(median(abs(p - y)), 4) AS median_ae"
-_SUMMARY7 = _SUMMARY.replace(", 4)", ", 7)")
+_NUDGED = _SUMMARY.replace(", 4)", " + 1e-9, 4)")
 _RANKS = "SELECT block, rank() OVER (PARTITION BY block ORDER BY y) + (count(*) OVER (PARTITION BY block, y) - 1) / 2 AS ra, rank() OVER (PARTITION BY block ORDER BY arm_net) + (count(*) OVER (PARTITION BY block, arm_net) - 1) / 2 AS rb FROM panel"
 SQL = {
     "macro_mae_units": """
@@ -191,7 +192,7 @@ FROM (SELECT o_custkey, avg(abs(l_extendedprice - l_quantity * 1000)) AS mae, co
     "macro_block_nested": _PANEL + "SELECT round(avg(m), 4) AS macro, round(stddev_samp(m), 4) AS sd_top, count(*) AS n_top FROM (SELECT seed, avg(m) AS m FROM (SELECT seed, block, avg(m) AS m FROM (SELECT seed, block, unit, avg(abs(y - arm_flat)) AS m FROM panel GROUP BY ALL) GROUP BY ALL) GROUP BY seed)",
     "arm_leaderboard": _PANEL + f"SELECT arm, {_SUMMARY}, round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 4) AS r2 FROM long GROUP BY arm",
     "guarded_r2_by_unit": _PANEL
-    + f"SELECT *, CASE WHEN r2 IS NULL THEN CASE WHEN n < 25 THEN 'too few rows' ELSE 'no spread' END END AS reason FROM (SELECT unit, {_SUMMARY7}, CASE WHEN count(*) >= 25 AND stddev_pop(y) >= 5 THEN round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 7) END AS r2 FROM long WHERE arm = 'arm_flat' GROUP BY unit)",
+    + f"SELECT *, CASE WHEN r2 IS NULL THEN CASE WHEN n < 25 THEN 'too few rows' ELSE 'no spread' END END AS reason FROM (SELECT unit, {_NUDGED}, CASE WHEN count(*) >= 25 AND stddev_pop(y) >= 5 THEN round(1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) + 1e-9, 4) END AS r2 FROM long WHERE arm = 'arm_flat' GROUP BY unit)",
     "level_shape_decomposition": _PANEL
     + """, r AS (SELECT arm, unit, p - y AS e, avg(p - y) OVER (PARTITION BY arm, unit) AS b FROM long),
 u AS (SELECT arm, unit, count(*) AS n, avg(e) AS b, sum(e * e) AS sse, avg(abs(e - b)) AS shape FROM r GROUP BY arm, unit)
@@ -233,7 +234,7 @@ SELECT block, n, distinct_x, round(slope, 7) AS slope, round(intercept, 7) AS in
     "crosstab_matrix": _PANEL + "SELECT block, " + ", ".join(f"count(*) FILTER (WHERE seed = {k}) AS seed_{k}" for k in (0, 1, 2)) + " FROM panel GROUP BY block",
     "size_buckets": _PANEL + "SELECT CASE WHEN n <= 1 THEN '(0,1]' WHEN n <= 20 THEN '(1,20]' WHEN n <= 30 THEN '(20,30]' ELSE '(30,inf)' END AS bucket, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT unit, count(*) AS n FROM panel GROUP BY unit) GROUP BY 1",
     "coverage_table": _PANEL + "SELECT block, count(*) AS n, count(*) FILTER (WHERE tax > 0.05) AS n_high_tax, count(DISTINCT unit) AS n_units, round(min(y), 4) AS least, round(max(y), 4) AS most, round(avg(y), 4) AS mean, round(stddev_samp(y), 4) AS sd FROM panel GROUP BY block",
-    "rollup_revenue": _PANEL + "SELECT block, seed, round(sum(y), 2) AS total, count(*) AS n, CAST(grouping(block) * 2 + grouping(seed) AS BIGINT) AS level FROM panel GROUP BY ROLLUP (block, seed)",
+    "rollup_revenue": _PANEL + "SELECT block, seed, round(sum(y), 7) AS total, count(*) AS n, CAST(grouping(block) * 2 + grouping(seed) AS BIGINT) AS level FROM panel GROUP BY ROLLUP (block, seed)",
     "cube_counts": "SELECT metal_symbol, cond__diluent__kerosene, count(*) AS n FROM dataset GROUP BY CUBE (metal_symbol, cond__diluent__kerosene)",
     "variance_components": _PANEL
     + """, u AS (SELECT unit, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM panel GROUP BY unit), t AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, count(*) AS g, sum(n * v) AS ssw, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS ssb FROM u)

@@ -236,6 +236,8 @@ def test_selection(spark, monkeypatch):
     monkeypatch.setattr(Q, "CHUNK", 7)
     cut = Q.maxmin_order(df, "u", "i", ["x", "z"], 4).collect()
     assert len(cut) == 8 and {r["u"] for r in cut} == {"a", "b"} and whole
+    gone = spark.createDataFrame([("a", "1", None), ("b", "2", 1.0)], "u string, i string, x double")
+    assert [r["u"] for r in Q.maxmin_order(gone, "u", "i", ["x"], 2).collect()] == ["b"] == [r["u"] for r in Q.d_optimal(gone, "u", "i", ["x"], 2).collect()]
     assert Q.d_optimal(df.where("false"), "u", "i", ["x"], 4).count() == 0
     assert Q.revealed(df, "u", "i", 2, "RANDOM", "x", 1).where("revealed").count() == 4
     off = {r["u"]: r["offset"] for r in Q.shrunk_offsets(df, "u", "x", 2.0).collect()}
