@@ -1,12 +1,14 @@
 """Sequential selection, few-shot calibration, baselines and simulation.
 
-Policies whose state evolves run as grouped functions, one entity at a time; an
-entity's rows are its candidates, which are few. Everything else is SQL.
+Policies whose state evolves run as grouped functions, one entity at a time.
+Entities of more than CHUNK rows are never gathered: each step of the same
+greedy choice is an aggregate over all their rows. Everything else is SQL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.keys import hash_order
+from quarrystone.sources.tables import cut
 
 
 def shrunk_offsets(support: DataFrame, unit: str, residual: str, strength: float) -> DataFrame:
@@ -40,22 +43,34 @@ def revealed(df: DataFrame, unit: str, row_id: str, k: int, policy: str, score:
 CHUNK = 100_000
 
 
-def _per_unit(df: DataFrame, unit: str, row_id: str, features: list[str], choose, schema: str) -> DataFrame:
-    """Runs a greedy choice on every unit. Units of more than CHUNK rows are cut by hash: each part chooses, and the choice among
-    all parts' choices counts (a core-set), so no unit is gathered in one task."""
+def _sides(df: DataFrame, unit: str, row_id: str, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of units of up to CHUNK rows; rows of larger units, one per id with all features as numbers x0, x1, ...). The larger are written once, as every step reads them."""
     rows = df.select(unit, row_id, *features)
-    large = rows.groupBy(unit).agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK).withColumn("_parts", F.ceil(F.col("_n") / CHUNK).cast("int")).drop("_n")
-    marked = rows.join(large, unit, "left")
-    small = marked.where("_parts IS NULL").select(unit, row_id, *features).groupBy(unit).applyInPandas(choose, schema)
-    cut = marked.where("_parts IS NOT NULL").withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts")).cast("int"))
+    large = rows.groupBy(F.col(unit).alias("_unit")).agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK)
+    marked = rows.join(large, F.col(unit).eqNullSafe(F.col("_unit")), "left")
+    x = [F.col(f).cast("double") for f in features]
+    whole = marked.where(F.col("_n").isNotNull()).select(F.col(unit).alias("_unit"), F.col(row_id).alias("_id"), F.struct(*[c.alias(f"x{i}") for i, c in enumerate(x)]).alias("_x"))
+    for i in range(len(x)):
+        whole = whole.where(F.col(f"_x.x{i}").isNotNull() & ~F.isnan(f"_x.x{i}"))
+    return marked.where("_n IS NULL").select(unit, row_id, *features), cut(whole.groupBy("_unit", "_id").agg(F.min("_x").alias("_x")).select("_unit", "_id", "_x.*"))
 
-    def choose_part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        kept = choose(key, g)
-        return g[g[row_id].isin(kept[row_id])].drop_duplicates(row_id)[[unit, row_id, *features]]
 
-    kinds = dict(df.dtypes)
-    first = cut.select(unit, row_id, *features, "_part").groupBy(unit, "_part").applyInPandas(choose_part, ", ".join(f"{c} {kinds[c]}" for c in (unit, row_id, *features)))
-    return small.unionByName(first.groupBy(unit).applyInPandas(choose, schema))
+def _pick(rows: DataFrame, state: DataFrame | None, order: Column, carried: list[str], point: list[Column]) -> DataFrame:
+    """One greedy step for every unit: the row that is first by (order, id) among those not in `ids`, reduced on the map side; `state` has a line per unit with the `carried` columns."""
+    entry = F.struct(order.alias("o"), F.col("_id"), F.array(*point).alias("p"))
+    if state is None:
+        return rows.groupBy("_unit").agg(F.min(entry).alias("_best"))
+    s = state.withColumnRenamed("_unit", "_of")
+    met = rows.join(F.broadcast(s), F.col("_unit").eqNullSafe(F.col("_of")))  # a line per unit of more than CHUNK rows
+    return met.groupBy("_unit").agg(F.min(F.when(~F.array_contains("ids", F.col("_id")), entry)).alias("_best"), *[F.first(c).alias(c) for c in carried])
+
+
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _steps(state: DataFrame, unit: str, row_id: str) -> DataFrame:
+    return state.select(F.col("_unit").alias(unit), F.posexplode("ids").alias("step", row_id)).select(unit, row_id, "step")
 
 
 def maxmin_order(df: DataFrame, unit: str, row_id: str, features: list[str], k: int) -> DataFrame:
@@ -77,7 +92,20 @@ def maxmin_order(df: DataFrame, unit: str, row_id: str, features: list[str], k:
             far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
         return pd.DataFrame({unit: g[unit].iloc[chosen].to_numpy(), row_id: g[row_id].iloc[chosen].to_numpy(), "step": np.arange(len(chosen), dtype=np.int32)})
 
-    return _per_unit(df, unit, row_id, features, choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
+    small, rows = _sides(df, unit, row_id, features)
+    out = small.groupBy(unit).applyInPandas(choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
+    names = range(len(features))
+    moments = rows.groupBy(F.col("_unit").alias("_of")).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in names], *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in names])
+    z = [((F.col(f"x{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0)).alias(f"z{i}") for i in names]
+    rows = rows.join(F.broadcast(moments), F.col("_unit").eqNullSafe(F.col("_of"))).select("_unit", "_id", *z)
+    point = [F.col(f"z{i}") for i in names]
+    state = _pick(rows, None, F.round(_total([c * c for c in point]), 9), [], point).select("_unit", F.array("_best._id").alias("ids"), F.array("_best.p").alias("points"))
+    for _ in range(k - 1):
+        far = F.array_min(F.transform("points", lambda c: _total([(z - c[i]) * (z - c[i]) for i, z in enumerate(point)])))
+        state = _pick(rows, state, -F.round(far, 9), ["ids", "points"], point)
+        more = F.col("_best").isNotNull()
+        state = state.select("_unit", F.when(more, F.concat("ids", F.array("_best._id"))).otherwise(F.col("ids")).alias("ids"), F.when(more, F.concat("points", F.array("_best.p"))).otherwise(F.col("points")).alias("points"))
+    return out.unionByName(_steps(state, unit, row_id))
 
 
 def d_optimal(df: DataFrame, unit: str, row_id: str, features: list[str], k: int, ridge: float = 1e-3) -> DataFrame:
@@ -97,7 +125,21 @@ def d_optimal(df: DataFrame, unit: str, row_id: str, features: list[str], k: int
             inverse = inverse - np.outer(u, u) / (1 + x[i] @ u)
         return pd.DataFrame({unit: g[unit].iloc[chosen].to_numpy(), row_id: g[row_id].iloc[chosen].to_numpy(), "step": np.arange(len(chosen), dtype=np.int32)})
 
-    return _per_unit(df, unit, row_id, features, choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
+    small, rows = _sides(df, unit, row_id, features)
+    out = small.groupBy(unit).applyInPandas(choose, f"{unit} {kinds[unit]}, {row_id} {kinds[row_id]}, step int")
+    point = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(features))]]
+    n = len(point)
+    at = lambda i, j: F.get("inverse", F.lit(i * n + j))
+    state = rows.select("_unit").distinct().select("_unit", F.array().cast(f"array<{kinds[row_id]}>").alias("ids"), F.array(*[F.lit(1.0 / ridge if i == j else 0.0) for i in range(n) for j in range(n)]).alias("inverse"))
+    for _ in range(k):
+        gain = _total([point[i] * at(i, j) * point[j] for i in range(n) for j in range(n)])
+        state = _pick(rows, state, -F.round(gain, 9), ["ids", "inverse"], point).withColumn("p", F.col("_best.p"))
+        state = state.withColumn("u", F.array(*[_total([at(i, j) * F.get("p", F.lit(j)) for j in range(n)]) for i in range(n)]))
+        u = [F.get("u", F.lit(i)) for i in range(n)]
+        less = F.lit(1.0) + _total([F.get("p", F.lit(i)) * u[i] for i in range(n)])
+        more = F.col("_best").isNotNull()
+        state = state.select("_unit", F.when(more, F.concat("ids", F.array("_best._id"))).otherwise(F.col("ids")).alias("ids"), F.when(more, F.array(*[at(i, j) - u[i] * u[j] / less for i in range(n) for j in range(n)])).otherwise(F.col("inverse")).alias("inverse"))
+    return out.unionByName(_steps(state, unit, row_id))
 
 
 def baseline_chain(train: DataFrame, test: DataFrame, levels: list[list[str]], y: str) -> DataFrame:
