@@ -4,8 +4,8 @@ Rows live in a fine group (the same condition) inside a coarse one (the same
 series). For each field a predictor is fitted from grouped sufficient
 statistics: the mean of the fine group, shrunk to the mean of the coarse one by
 the ratio of the pooled variances. A row without the value searches the donors
-of its coarse group whose prediction lies within a relative caliper of its own,
-and copies the observed value of the nearest donor together with the donor's id.
+of its coarse group, or where that supports nothing of its fine group, whose
+prediction lies within a relative caliper of its own, and copies the observed value of the nearest donor together with the donor's id.
 
 Predictions depend only on the two groups, so fitting and the range search run
 on one row per (coarse, fine, field) cell: what is shuffled is pre-aggregated
@@ -49,6 +49,7 @@ def predictive_mean_fill(
     tol: float = 1e-3,
     min_coarse: int = 2,
     min_fine: int = 1,
+    across: bool = True,
 ) -> DataFrame:
     """Long result: one row per unrecorded field of a row that its groups support.
 
@@ -57,8 +58,9 @@ def predictive_mean_fill(
     coarse_low and coarse_high (the recorded values of the coarse group).
 
     A tier supports a value when enough rows record it (min_fine, min_coarse)
-    and all of them agree within tol. NULL groups support nothing at their
-    level. NULL, NaN and numbers outside a field's range are unrecorded and
+    and all of them agree within tol. The fine tier asks the rows of the fine
+    group in the same coarse group first, then those in any (not
+    with across=False). NULL groups support nothing at their level. NULL, NaN and numbers outside a field's range are unrecorded and
     never donate. Rows repeated under one id are filled alike. Ties between
     donors go to the smallest id. An empty table gives an empty result.
     Columns of df other than those named play no part, whatever their names.
@@ -97,8 +99,20 @@ def predictive_mean_fill(
     wide = F.coalesce((F.col("c_n") >= min_coarse) & _alike(F.col("c_low"), F.col("c_high"), tol), F.lit(False))
     shrunk = (F.coalesce(F.col("s1"), F.lit(0.0)) + F.col("shrink") * F.col("c_s1") / F.col("c_n")) / (F.coalesce(F.col("n"), F.lit(0)) + F.col("shrink"))
     fitted = F.when(wide, F.col("c_s1") / F.col("c_n")).when(F.col("c_n").isNull() | (F.col("shrink") == 0), F.col("s1") / F.col("n")).otherwise(shrunk)
-    fit = both.withColumn("tier", F.when(wide, "coarse").when(own, "fine")).withColumn("prediction", fitted).where(F.col("tier").isNotNull() & F.col("prediction").isNotNull())
+    fit = both.withColumn("tier", F.when(wide, "coarse").when(own, "fine")).withColumn("prediction", fitted).withColumn("support", F.when(wide, F.col("c_n")).otherwise(F.col("n")))
     fit = fit.withColumn("_group", F.coalesce(F.concat(F.lit("c:"), F.col("_coarse").cast("string")), F.concat(F.lit("f:"), F.col("_fine").cast("string"))))
+    if across:
+        # A cell that neither supports takes prediction and donor from its condition in all series.
+        fit = cut(fit)  # read twice
+        lost = fit.where(F.col("need") & F.col("tier").isNull() & F.col("_fine").isNotNull()).drop("top", "prediction", "support")
+        by_fine = cells.join(lost.select("_fine", "field_name").distinct(), ["_fine", "field_name"], "left_semi").groupBy("_fine", "field_name").agg(
+            F.sum("n").alias("support"), (F.sum("s1") / F.sum("n")).alias("prediction"), F.min("low").alias("f_low"), F.max("high").alias("f_high"),
+            F.min(F.struct(*[(-F.col(f"top.{c}")).alias(c) for c in "nlv"], F.col("top.donor").alias("donor"))).alias("d"),
+        ).where((F.col("support") >= min_fine) & _alike(F.col("f_low"), F.col("f_high"), tol))
+        found = lost.drop("tier", "_group").join(by_fine.drop("f_low", "f_high"), ["_fine", "field_name"]).withColumn("tier", F.lit("fine")).withColumn("_group", F.concat(F.lit("x:"), F.col("_fine").cast("string")))
+        found = found.withColumn("top", F.struct(*[(-F.col(f"d.{c}")).alias(c) for c in "nlv"], F.col("d.donor").alias("donor"))).drop("d")
+        fit = fit.where(F.col("tier").isNotNull()).unionByName(found)
+    fit = fit.where(F.col("tier").isNotNull() & F.col("prediction").isNotNull())
 
     # Range search: predictions fall into bins as wide as the caliper, so a near donor is in the bin itself or beside it.
     # Each bin keeps one donor, the most common observed value of its cells, however many cells it holds.
@@ -111,7 +125,7 @@ def predictive_mean_fill(
     near = gap <= F.lit(caliper) * F.greatest(F.abs(F.col("prediction")), F.lit(1e-12))
     fills = (
         asking.join(donors, ["_group", "field_name", "_bin"]).where(near)
-        .groupBy("_coarse", "_fine", "field_name", "tier", "prediction", F.when(F.col("tier") == "coarse", F.col("c_n")).otherwise(F.col("n")).alias("support"), F.col("c_n").alias("coarse_n"), F.col("c_low").alias("coarse_low"), F.col("c_high").alias("coarse_high"))
+        .groupBy("_coarse", "_fine", "field_name", "tier", "prediction", "support", F.col("c_n").alias("coarse_n"), F.col("c_low").alias("coarse_low"), F.col("c_high").alias("coarse_high"))
         .agg(F.min(F.struct(gap.alias("gap"), F.col("d.top.donor").alias("donor_id"), F.col("d.top.v").alias("v"))).alias("d"))
         .select("_coarse", "_fine", "field_name", (-F.col("d.v")).alias("fill_value"), "d.donor_id", "tier", "prediction", "support", "coarse_n", "coarse_low", "coarse_high")
     )

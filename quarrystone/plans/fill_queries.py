@@ -14,14 +14,14 @@ FIELDS = [
 ]
 
 
-def _fills(spark, d):
+def _fills(spark, d, across=True):
     rows = table(spark, d, "dataset", "row_id", "condition_id", "series_id", *[f.name for f in FIELDS])
-    return rows, predictive_mean_fill(rows, "row_id", FIELDS, fine="condition_id", coarse="series_id")
+    return rows, predictive_mean_fill(rows, "row_id", FIELDS, fine="condition_id", coarse="series_id", across=across)
 
 
 def p3_found(spark, d):
     """The fills whose whole series agrees within 0.1 % on at least two recorded rows."""
-    _, fills = _fills(spark, d)
+    _, fills = _fills(spark, d, across=False)  # fills by the series only
     agrees = (F.col("coarse_n") >= 2) & ((F.col("coarse_high") - F.col("coarse_low")) <= 0.001 * F.greatest(F.abs("coarse_low"), F.abs("coarse_high")))
     return fills.where(agrees).select("row_id", "field_name", F.round(F.col("fill_value") * 1000).cast("long").alias("fill_milli")).distinct()
 

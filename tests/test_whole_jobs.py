@@ -3,6 +3,7 @@
 import random
 
 from quarrystone.operators import selection as Q
+from quarrystone.operators.fill import Field, predictive_mean_fill
 
 
 def test_greedy_orders_of_large_units_are_exact(spark, monkeypatch):
@@ -18,3 +19,14 @@ def test_greedy_orders_of_large_units_are_exact(spark, monkeypatch):
             large = choose(df, "u", "i", ["x", "z"], k)
             assert large.dtypes == whole.dtypes
             assert {tuple(r) for r in large.collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_a_condition_supports_rows_of_other_series(spark):
+    rows = [
+        ("a", "c1", "s", 2.0), ("b", "c1", "t", 2.0), ("n", "c1", None, None), ("m", "c1", "u", None),  # alike in s and t
+        ("d", "c2", "s", 3.0), ("e", "c2", "t", 4.0), ("o", "c2", None, None),  # not alike
+        ("f", "c3", None, 5.0), ("g", "c3", "t", 6.0), ("p", "c3", None, None),  # its own cell comes first
+        ("h", None, "v", None), ("i", None, "w", 9.0),
+    ]
+    fills = predictive_mean_fill(spark.createDataFrame(rows, "id string, fine string, coarse string, x double"), "id", [Field("x", 0.0, 50.0)], "fine", "coarse")
+    assert {(r["id"], r["fill_value"], r["donor_id"], r["tier"], r["support"]) for r in fills.collect()} == {("n", 2.0, "a", "fine", 2), ("m", 2.0, "a", "fine", 2), ("p", 5.0, "f", "fine", 1)}
