@@ -150,13 +150,24 @@ def cell_pairs(spark, d):
     return a.join(b, on).select("a.extractant", "a.condition_id", F.col("a.metal_symbol").alias("metal_a"), F.col("b.metal_symbol").alias("metal_b"), (F.col("b.metal_z") - F.col("a.metal_z")).alias("dz"), F.round(F.col("b.v") - F.col("a.v"), 6).alias("difference"))
 
 
-def metal_pivot(spark, d):
-    metals = ["La", "Ce", "Nd", "Eu", "Gd", "Lu"]
+LANTHANIDES = ("La", "Ce", "Pr", "Nd", "Sm", "Eu", "Gd", "Tb", "Dy", "Ho", "Er", "Tm", "Yb", "Lu")
+
+
+def _pivoted(spark, d, metals):
     y = number_or_null(F.col("log_D"))
-    p = table(spark, d, "dataset", "extractant", "metal_symbol", "log_D").where(y.isNotNull()).groupBy("extractant").pivot("metal_symbol", metals).agg(F.round(F.avg("log_D"), 6).alias("mean"), F.count("log_D").alias("n"))
+    p = table(spark, d, "dataset", "extractant", "metal_symbol", "log_D").where(y.isNotNull()).groupBy("extractant").pivot("metal_symbol", list(metals)).agg(F.round(F.avg("log_D"), 6).alias("mean"), F.count("log_D").alias("n"))
     return p.select("extractant", *[F.col(f"{m}_mean").alias(f"logd_{m.lower()}") for m in metals], *[F.coalesce(f"{m}_n", F.lit(0).cast("long")).alias(f"n_{m.lower()}") for m in metals])
 
 
+def metal_pivot(spark, d):
+    """Six of the metals, as its SQL has it; lanthanide_pivot has them all."""
+    return _pivoted(spark, d, ("La", "Ce", "Nd", "Eu", "Gd", "Lu"))
+
+
+def lanthanide_pivot(spark, d):
+    return _pivoted(spark, d, LANTHANIDES)
+
+
 def fanout_collapse(spark, d):
     t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "source_file", "loaded_at", "log_D", "metal_symbol")
     out = D.collapse_fanout(t, "canonical_measurement_id", [F.col("loaded_at"), F.col("source_file"), F.col("log_D")], {"source_file": "files"})
@@ -233,7 +244,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         blank_census, clean_labels, dates_by_month, publications_cited, parse_quantities, props_values, written_precision, condition_cells, identity_hashes, component_signatures, series_ids, sanity_flags, cohort_waterfall,
-        first_exclusion_rule, readiness_tiers, lookup_structures, overlap_of_publications, semi_and_anti, cell_pairs, metal_pivot, fanout_collapse, fanout_constancy, dedup_ladder, tolerance_sweep, duplicate_classes, condition_conflicts,
+        first_exclusion_rule, readiness_tiers, lookup_structures, overlap_of_publications, semi_and_anti, cell_pairs, metal_pivot, lanthanide_pivot, fanout_collapse, fanout_constancy, dedup_ladder, tolerance_sweep, duplicate_classes, condition_conflicts,
         decade_gap_scan, name_mismatches, review_queue, row_ledger, text_profile,
     )
 }
@@ -284,6 +295,7 @@ SELECT count(*) FILTER (WHERE b.publication IS NULL) AS left_only, count(*) FILT
     "cell_pairs": """WITH c AS (SELECT extractant, condition_id, metal_symbol, metal_z, avg(log_D) AS v FROM dataset WHERE NOT isnan(log_D) GROUP BY ALL)
 SELECT a.extractant, a.condition_id, a.metal_symbol AS metal_a, b.metal_symbol AS metal_b, b.metal_z - a.metal_z AS dz, round(b.v - a.v, 6) AS difference FROM c a JOIN c b ON a.extractant = b.extractant AND a.condition_id = b.condition_id AND a.metal_z < b.metal_z""",
     "metal_pivot": "SELECT extractant, " + ", ".join(f"round(avg(log_D) FILTER (WHERE metal_symbol = '{m}'), 6) AS logd_{m.lower()}, count(*) FILTER (WHERE metal_symbol = '{m}') AS n_{m.lower()}" for m in ("La", "Ce", "Nd", "Eu", "Gd", "Lu")) + " FROM dataset WHERE NOT isnan(log_D) GROUP BY 1",
+    "lanthanide_pivot": "SELECT extractant, " + ", ".join(f"round(avg(log_D) FILTER (WHERE metal_symbol = '{m}'), 6) AS logd_{m.lower()}, count(*) FILTER (WHERE metal_symbol = '{m}') AS n_{m.lower()}" for m in LANTHANIDES) + " FROM dataset WHERE NOT isnan(log_D) GROUP BY 1",
     "fanout_collapse": "SELECT canonical_measurement_id, first(metal_symbol ORDER BY loaded_at) AS metal_symbol, count(*) AS fanout_size, array_to_string(list_sort(list(DISTINCT source_file)), ';') AS files FROM dataset_all_metals GROUP BY 1",
     "fanout_constancy": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE k > 1) AS n_varying, max(k) AS most_values FROM (SELECT canonical_measurement_id, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS k FROM dataset_all_metals GROUP BY 1)" for c in ("source_file", "metal_symbol", "solvent_key", "comments_raw", "loaded_at")),
     "dedup_ladder": _ladder_sql("documents", [("raw", "text"), ("spaces", _SPACED), ("case", f"lower({_SPACED})"), ("letters", "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')")]),

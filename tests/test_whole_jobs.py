@@ -1,10 +1,37 @@
 """Operators whose results must not depend on the size of a unit, on the first of several values, or on a shortened list."""
 
+import os
 import random
 
+import pytest
+
+import __spark_entry__ as entry
 from quarrystone.operators import selection as Q
 from quarrystone.operators.fill import Field, predictive_mean_fill
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["lanthanide_pivot"])
+def test_agrees_with_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    got = entry.queries()[name](spark, DATA)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    same = lambda rows: sorted(tuple("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert same(map(tuple, got.collect())) == same(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_every_recorded_row_reaches_the_pivot(spark):
+    got = entry.queries()["lanthanide_pivot"](spark, DATA)
+    n = spark.read.parquet(f"{DATA}/dataset.parquet").where("log_D IS NOT NULL AND NOT isnan(log_D)").count()
+    assert sum(sum(r[c] for c in got.columns if c.startswith("n_")) for r in got.collect()) == n
+
 
 def test_greedy_orders_of_large_units_are_exact(spark, monkeypatch):
     rng = random.Random(8)
