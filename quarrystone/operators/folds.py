@@ -47,6 +47,27 @@ def publication_mask(rows: DataFrame, row_id: str, fold: str, publication: str,
     return train.alias("t").join(held.alias("h"), (F.col("t.held_fold") == F.col("h.held_fold")) & (F.col(f"t.{publication}") == F.col("h._p")), "left_anti").select(row_id, "held_fold")
 
 
+def sharing(rows: DataFrame, row_id: str, fold: str, values: str) -> DataFrame:
+    """(row_id, fold, other_fold): the folds, its own among them, that hold any of the values a row lists in the array column `values`; one line each."""
+    long = rows.select(row_id, fold, F.explode(values).alias("_v"))
+    held = long.select("_v", F.col(fold).alias("other_fold")).distinct()
+    return long.join(held, "_v").select(row_id, fold, "other_fold").distinct()
+
+
+def mask_of_all(rows: DataFrame, row_id: str, fold: str, values: str, k: int) -> DataFrame:
+    """(row_id, held_fold): training rows of every fold, without those that list any value which occurs in the held-out fold."""
+    train = rows.withColumn("held_fold", F.explode(F.array(*[F.lit(i) for i in range(k)]))).where(F.col("held_fold") != F.col(fold))
+    return train.select(row_id, "held_fold").join(sharing(rows, row_id, fold, values).select(row_id, F.col("other_fold").alias("held_fold")), [row_id, "held_fold"], "left_anti")
+
+
+def leak_audit_of_all(rows: DataFrame, row_id: str, fold: str, values: str, name: str) -> DataFrame:
+    """leak_audit of an array column: every listed value counts, and a row counts once however many of its values leak."""
+    long = rows.select(fold, F.explode(values).alias("_v"))
+    leaking = long.groupBy("_v").agg(F.count_distinct(fold).alias("folds")).agg(F.count_if(F.col("folds") > 1).alias("n_leaking"))
+    reached = sharing(rows, row_id, fold, values).where(F.col("other_fold") != F.col(fold)).agg(F.count_distinct(row_id).alias("n_rows"))
+    return leaking.crossJoin(reached).select(F.lit(name).alias("column_name"), "n_leaking", "n_rows")
+
+
 def size_matched(rows: DataFrame, sizes: DataFrame, by: list[str], row_id: str, seed: int) -> DataFrame:
     """Rows with the first `n_drop` (column of `sizes`, per `by`) of a hashed order removed: a random control of the same size."""
     ranked = global_rank(rows, hash_order(F.lit(seed), *[F.col(c) for c in by], F.col(row_id)), by)

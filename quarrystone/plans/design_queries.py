@@ -24,6 +24,13 @@ def _rows(spark, d):
     return t.join(P.grouped_folds(t, "extractant", 5, 104729), "extractant")
 
 
+def _rows_all(spark, d):
+    """dataset rows with all publications they cite and their fold by extractant."""
+    t = table(spark, d, "dataset", "row_id", "extractant", "chemotype", "doi", "series_id")
+    t = t.select("row_id", "extractant", label_key(F.col("chemotype")).alias("chemotype"), "series_id", doi_list(F.col("doi"), (SELF,)).alias("publications"))
+    return t.join(P.grouped_folds(t, "extractant", 5, 104729), "extractant")
+
+
 def group_kfold(spark, d):
     return P.grouped_folds(table(spark, d, "dataset", "extractant"), "extractant", 5, 104729)
 
@@ -47,6 +54,34 @@ def publication_mask(spark, d):
     return kept.groupBy("held_fold").agg(F.count("*").alias("n_train"), F.min("row_id").alias("first_row"))
 
 
+def loo_remainder_folds_all(spark, d):
+    """As loo_remainder_folds, a row under every publication it cites."""
+    return P.remainder_folds(_rows_all(spark, d).select(F.explode_outer("publications").alias("publication")), "publication", 40)
+
+
+def publication_mask_all(spark, d):
+    """As publication_mask, by every publication a row cites."""
+    kept = P.mask_of_all(_rows_all(spark, d).select("row_id", "fold", "publications"), "row_id", "fold", "publications", 5)
+    return kept.groupBy("held_fold").agg(F.count("*").alias("n_train"), F.min("row_id").alias("first_row"))
+
+
+def fold_leak_audit_all(spark, d):
+    """As fold_leak_audit, by every publication a row cites."""
+    rows = _rows_all(spark, d)
+    return P.leak_audit(rows, "fold", ["extractant", "chemotype", "series_id"]).unionByName(P.leak_audit_of_all(rows, "row_id", "fold", "publications", "publication"))
+
+
+def pool_survival_all(spark, d):
+    """As pool_survival, by every publication a row cites."""
+    rows = m = _rows_all(spark, d)
+    for name, c in (("_c", "chemotype"), ("_s", "series_id")):
+        m = m.join(rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.collect_set("fold").alias(name)), c, "left")
+    m = m.join(P.sharing(rows, "row_id", "fold", "publications").groupBy("row_id").agg(F.collect_set("other_fold").alias("_p")), "row_id", "left")
+    m = m.select(F.col("fold").alias("_own"), F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("fold"), "_c", "_s", "_p").where("_own <> fold")
+    same = {n: F.coalesce(F.array_contains(f"_{n}", F.col("fold")), F.lit(False)) for n in "cps"}
+    return m.groupBy("fold").agg(F.count("*").alias("n_pool"), F.count_if(same["c"]).alias("n_same_chemotype"), F.count_if(same["p"]).alias("n_same_publication"), F.count_if(same["s"]).alias("n_same_series"), F.count_if(~(same["c"] | same["p"] | same["s"])).alias("n_headline"))
+
+
 def size_matched_control(spark, d):
     rows = _rows(spark, d).select("row_id", "fold")
     sizes = rows.groupBy("fold").agg(F.floor(F.count("*") / 4).alias("n_drop"))
@@ -229,6 +264,7 @@ def null_safe_join(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
+        loo_remainder_folds_all, publication_mask_all, fold_leak_audit_all, pool_survival_all,
         group_kfold, inner_folds, loo_remainder_folds, publication_mask, size_matched_control, hash_samples, permutation_control, fold_leak_audit, pool_survival, frame_fingerprint, curve_membership, curve_stats, primary_curves,
         curve_position, curve_closure, training_pairs, transitive_scores, lexicographic_rank, topk_ties, cross_unit_regret, coverage_curve, round_robin_order, budget_prefix, seat_allocation, cumulative_shares, percent_ranks,
         weighted_medians, lag_differences, standardised_by_unit, set_operations, long_to_wide_and_back, exploded_flags, asof_events, range_overlaps, null_safe_join,
@@ -241,6 +277,9 @@ _CHEM = "CASE WHEN chemotype IS NOT NULL AND lower(trim(chemotype)) NOT IN ('',
 _FOLDS = "SELECT extractant, CAST((row_number() OVER (ORDER BY md5('104729:' || extractant)) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT extractant FROM dataset)"
 _ROWS = f"""WITH f AS ({_FOLDS}), r AS (SELECT row_id, extractant, {_CHEM} AS chemotype, metal_symbol, series_id, CASE WHEN NOT isnan(log_D) THEN log_D END AS y, list_sort({_DOIS})[1] AS publication, fold FROM dataset JOIN f USING (extractant))
 """
+_ROWS_ALL = f"""WITH f AS ({_FOLDS}), r AS (SELECT row_id, extractant, {_CHEM} AS chemotype, series_id, {_DOIS} AS publications, fold FROM dataset JOIN f USING (extractant)), pub AS (SELECT row_id, fold, unnest(publications) AS publication FROM r),
+sh AS (SELECT DISTINCT a.row_id, a.fold, b.fold AS other FROM pub a JOIN (SELECT DISTINCT fold, publication FROM pub) b USING (publication))
+"""
 
 
 def _clip(c, lo, hi):
@@ -259,6 +298,13 @@ SQL = {
     "inner_folds": _ROWS + " UNION ALL ".join(f"SELECT chemotype, CAST((row_number() OVER (ORDER BY md5('{104729 * 31 + k * 7919 + 17}:' || coalesce(chemotype, 'NA'))) - 1) % 3 AS INT) AS fold, {k} AS outer_fold FROM (SELECT DISTINCT chemotype FROM r WHERE fold <> {k})" for k in range(5)),
     "loo_remainder_folds": _ROWS + "SELECT publication, count(*) AS n, CASE WHEN count(*) >= 40 THEN publication ELSE 'REMAINDER' END AS fold FROM r GROUP BY publication",
     "publication_mask": _ROWS + "SELECT h.held_fold, count(*) AS n_train, min(row_id) AS first_row FROM r, (SELECT unnest([0, 1, 2, 3, 4]) AS held_fold) h WHERE r.fold <> h.held_fold AND NOT EXISTS (SELECT 1 FROM r x WHERE x.fold = h.held_fold AND x.publication = r.publication) GROUP BY 1",
+    "loo_remainder_folds_all": _ROWS_ALL + "SELECT publication, count(*) AS n, CASE WHEN count(*) >= 40 THEN publication ELSE 'REMAINDER' END AS fold FROM r LEFT JOIN pub USING (row_id) GROUP BY publication",
+    "publication_mask_all": _ROWS_ALL + "SELECT h.held_fold, count(*) AS n_train, min(r.row_id) AS first_row FROM r CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS held_fold) h WHERE r.fold <> h.held_fold AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.row_id = r.row_id AND sh.other = h.held_fold) GROUP BY 1",
+    "fold_leak_audit_all": _ROWS_ALL + "SELECT column_name, count(*) FILTER (WHERE folds > 1) AS n_leaking, CAST(coalesce(sum(n) FILTER (WHERE folds > 1), 0) AS BIGINT) AS n_rows FROM (SELECT column_name, v, count(DISTINCT fold) AS folds, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v, fold FROM r" for c in ("extractant", "chemotype", "series_id")) + ") WHERE v IS NOT NULL GROUP BY ALL) GROUP BY 1 UNION ALL SELECT 'publication', (SELECT count(*) FROM (SELECT publication FROM pub GROUP BY 1 HAVING count(DISTINCT fold) > 1)), (SELECT count(DISTINCT row_id) FROM sh WHERE other <> fold)",
+    "pool_survival_all": _ROWS_ALL
+    + """, m AS (SELECT h.k AS fold, EXISTS (SELECT 1 FROM r x WHERE x.fold = h.k AND x.chemotype = r.chemotype) AS c, EXISTS (SELECT 1 FROM sh WHERE sh.other = h.k AND sh.row_id = r.row_id) AS p, EXISTS (SELECT 1 FROM r x WHERE x.fold = h.k AND x.series_id = r.series_id) AS s
+FROM r, (SELECT unnest([0, 1, 2, 3, 4]) AS k) h WHERE r.fold <> h.k)
+SELECT fold, count(*) AS n_pool, count(*) FILTER (WHERE c) AS n_same_chemotype, count(*) FILTER (WHERE p) AS n_same_publication, count(*) FILTER (WHERE s) AS n_same_series, count(*) FILTER (WHERE NOT (c OR p OR s)) AS n_headline FROM m GROUP BY fold""",
     "size_matched_control": _ROWS + "SELECT fold, row_id FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5('7:' || fold || ':' || row_id)) - 1 AS k, floor(count(*) OVER (PARTITION BY fold) / 4) AS n_drop FROM r) WHERE k >= n_drop",
     "hash_samples": "SELECT extractant, row_id FROM (SELECT extractant, row_id, row_number() OVER (PARTITION BY extractant ORDER BY md5('11:' || row_id), row_id) AS k FROM dataset) WHERE k <= 3",
     "permutation_control": """WITH r AS (SELECT row_id, metal_symbol, log_D AS y FROM dataset WHERE NOT isnan(log_D)), a AS (SELECT *, row_number() OVER (PARTITION BY metal_symbol ORDER BY md5(row_id)) AS k FROM r),

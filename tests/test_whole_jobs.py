@@ -6,6 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
+from quarrystone.operators import folds as P
 from quarrystone.operators import selection as Q
 from quarrystone.operators.fill import Field, predictive_mean_fill
 
@@ -13,7 +14,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["lanthanide_pivot"])
+@pytest.mark.parametrize("name", ["lanthanide_pivot", "loo_remainder_folds_all", "publication_mask_all", "fold_leak_audit_all", "pool_survival_all"])
 def test_agrees_with_sql(spark, name):
     import duckdb
 
@@ -33,6 +34,14 @@ def test_every_recorded_row_reaches_the_pivot(spark):
     assert sum(sum(r[c] for c in got.columns if c.startswith("n_")) for r in got.collect()) == n
 
 
+def test_every_cited_publication_counts(spark):
+    rows = [("a", 0, ["p", "q"]), ("b", 1, ["o", "q"]), ("c", 1, ["o"]), ("d", 2, []), ("e", 2, ["o", "p", "r"])]
+    df = spark.createDataFrame(rows, "i string, fold int, ps array<string>")
+    want = {(i, h) for i, f, ps in rows for h in range(3) if h != f and not any(set(ps) & set(o) for _, g, o in rows if g == h)}
+    assert {tuple(r) for r in P.mask_of_all(df, "i", "fold", "ps", 3).collect()} == want == {("c", 0), ("d", 0), ("d", 1)}
+    assert tuple(P.leak_audit_of_all(df, "i", "fold", "ps", "publication").first()) == ("publication", 3, 4)
+
+
 def test_greedy_orders_of_large_units_are_exact(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(rng.choice(["a", "b", "b", None]), f"r{i:03d}", float(rng.randint(57, 71)), rng.choice([None, float("nan"), *[rng.uniform(0, 9) for _ in range(8)]])) for i in range(300)]
