@@ -83,7 +83,7 @@ def weighted_distance(a: str, b: str, most: int) -> float | None:
     return weight if edits <= most else None
 
 
-Index = dict[str, dict]
+Index = dict[str, dict | int]
 
 
 def build_index(entries: list[tuple[int, str, bool, int]]) -> Index:
@@ -98,7 +98,7 @@ def build_index(entries: list[tuple[int, str, bool, int]]) -> Index:
     for key in spelled:
         for d in deletes(key, allowed(len(key))):
             near.setdefault(d, []).append(key)
-    return {"spelled": spelled, "near": near}
+    return {"spelled": spelled, "near": near, "longest": max(map(len, spelled), default=0) + 2}
 
 
 def find(index: Index, typed: str) -> tuple[int, float]:
@@ -107,7 +107,7 @@ def find(index: Index, typed: str) -> tuple[int, float]:
     key = typed_key(typed)
     if key in spelled:
         return spelled[key][0], 0.0
-    found = {c for d in deletes(key, 2) for c in near.get(d, ())} if 3 < len(key) <= 80 else ()
+    found = {c for d in deletes(key, 2) for c in near.get(d, ())} if len(key) <= index["longest"] else ()
     ranked = []
     for c in found:
         w = weighted_distance(key, c, allowed(len(c)))

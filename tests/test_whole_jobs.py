@@ -6,6 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
+from quarrystone.llm.catalog_match import build_index, find
 from quarrystone.operators import folds as P
 from quarrystone.operators import selection as Q
 from quarrystone.operators.fill import Field, predictive_mean_fill
@@ -66,3 +67,9 @@ def test_a_condition_supports_rows_of_other_series(spark):
     ]
     fills = predictive_mean_fill(spark.createDataFrame(rows, "id string, fine string, coarse string, x double"), "id", [Field("x", 0.0, 50.0)], "fine", "coarse")
     assert {(r["id"], r["fill_value"], r["donor_id"], r["tier"], r["support"]) for r in fills.collect()} == {("n", 2.0, "a", "fine", 2), ("m", 2.0, "a", "fine", 2), ("p", 5.0, "f", "fine", 1)}
+
+
+def test_short_and_long_typed_values_are_looked_up():
+    long = "abcdefghij" * 9
+    index = build_index([(1, "MIBK", False, 0), (2, "CCl4", False, 0), (3, long, False, 0), (4, "DMF", False, 0)])
+    assert [find(index, t)[0] for t in ("MBK", "CC4", long[:40] + long[41:], "DM", "", "DMFA", long + "abc")] == [1, 2, 3, 0, 0, 0, 0]
