@@ -90,8 +90,9 @@ def doi_list(text: Column, ignored: tuple[str, ...] = ()) -> Column:
 
 
 def smiles_key(smiles: Column) -> Column:
-    """A structure text with its dot-separated fragments in sorted order; NULL where blank."""
-    return F.when(~is_blank(smiles), F.array_join(F.array_sort(F.split(F.trim(smiles), r"\.")), "."))
+    """A structure text without white space and with its dot-separated fragments in sorted order; NULL where blank."""
+    bare = F.regexp_replace(smiles, _WS, "")
+    return F.when(~is_blank(smiles), F.array_join(F.array_sort(F.split(bare, r"\.")), "."))
 
 
 def split_role(text: Column) -> Column:

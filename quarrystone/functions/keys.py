@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrystone.functions.clean import squeeze
+
 MISSING = "NA"
 
 
@@ -33,7 +35,7 @@ def rounded_figures(x: Column, digits: int) -> Column:
 
 def written_figures(text: Column) -> Column:
     """How many significant digits a number is written with: leading zeros and, in whole numbers, trailing zeros don't count; NULL if it is no number."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"^[-+]|e[-+]?\d+$", "")
+    t = F.regexp_replace(F.lower(squeeze(text)), r"^[-+]|e[-+]?\d+$", "")
     number = t.rlike(r"^\d*\.?\d+$|^\d+\.$")
     digits = F.regexp_replace(F.regexp_replace(t, r"\.", ""), r"^0+", "")
     digits = F.when(t.contains("."), digits).otherwise(F.regexp_replace(digits, r"0+$", ""))
@@ -47,7 +49,7 @@ def condition_key(columns: list[Column], digits: int = 9) -> Column:
 
 def identity_hash(categories: list[Column], numbers: list[Column], digits: int = 12) -> Column:
     """24 hexadecimal digits of the SHA-256 of all fields, separated by the unit separator."""
-    parts = [F.coalesce(F.lower(F.trim(c)), F.lit(MISSING)) for c in categories] + [quantised(n, digits) for n in numbers]
+    parts = [F.coalesce(F.lower(squeeze(c)), F.lit(MISSING)) for c in categories] + [quantised(n, digits) for n in numbers]
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 24)
 
 

@@ -22,8 +22,8 @@ def split_components(text: Column, separators: str = r"[;+]") -> Column:
 
 def key_values(text: Column, keys: list[str]) -> Column:
     """The 'Key: value' notes of a ';'-separated text for known keys (case ignored), as a map from lower-case key to value; the last one counts."""
-    notes = F.filter(F.split(text, ";"), lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))).isin(*[k.lower() for k in keys]) & x.contains(":"))
-    pairs = F.transform(notes, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))))
+    notes = F.filter(F.split(text, ";"), lambda x: F.lower(squeeze(F.substring_index(x, ":", 1))).isin(*[k.lower() for k in keys]) & x.contains(":"))
+    pairs = F.transform(notes, lambda x: F.struct(F.lower(squeeze(F.substring_index(x, ":", 1))), squeeze(F.regexp_replace(x, r"^[^:]*:", ""))))
     fold = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["col1"]), F.create_map(p["col1"], p["col2"])))
     return F.coalesce(fold, F.create_map().cast("map<string,string>"))
 
@@ -37,7 +37,7 @@ def canonical_names(parts: Column, names: dict[str, str]) -> Column:
 def parse_mixture(text: Column) -> Column:
     """array<struct<name, fraction>> of 'A with p% B', 'A f, B g' or a single name; commas inside names (1,2-...) don't split; fractions of percentages sum to 1; NULL for blanks."""
     t = squeeze(text)
-    item = lambda n, f: F.struct(F.trim(n).alias("name"), f.cast("double").alias("fraction"))
+    item = lambda n, f: F.struct(squeeze(n).alias("name"), f.cast("double").alias("fraction"))
     with_ = r"^(.+?) with (\d+(?:\.\d+)?) ?% (.+)$"
     share = F.regexp_extract(t, with_, 2).try_cast("double") / 100
     two = r"^(.+) (0?\.\d+), ?(.+) (0?\.\d+)$"

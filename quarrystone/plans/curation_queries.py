@@ -114,7 +114,7 @@ def first_exclusion_rule(spark, d):
 
 def readiness_tiers(spark, d):
     t = table(spark, d, "dataset_all_metals", "log_D", "acid_primary", "temperature_C", "flags", "canonical_measurement_id")
-    flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda x: F.lower(squeeze(x)))
     bad = F.arrays_overlap(flags, F.array(F.lit("value_off_trend"), F.lit("unit_slip_likely")))
     y = number_or_null(F.col("log_D"))
     tier = C.first_label([(y.isNull(), "NO_TARGET"), (bad, "C"), (number_or_null(F.col("temperature_C")).isNull(), "B")], "A")
@@ -219,10 +219,10 @@ def review_queue(spark, d):
     from pyspark.sql import Window
 
     m = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "flags", "log_D").dropDuplicates(["canonical_measurement_id"])
-    flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda x: F.lower(squeeze(x)))
     a = m.where(F.array_contains(flags, "value_off_trend")).select(F.lit("off_trend").alias("case_type"), F.lit(1).alias("priority"), F.col("canonical_measurement_id").alias("subject"))
     b = m.where(number_or_null(F.col("log_D")).isNull()).select(F.lit("no_target").alias("case_type"), F.lit(2).alias("priority"), F.col("canonical_measurement_id").alias("subject"))
-    c = table(spark, d, "documents", "doc_id", "text").where(F.coalesce(F.trim("text"), F.lit("")) == "").select(F.lit("no_text").alias("case_type"), F.lit(3).alias("priority"), F.col("doc_id").cast("string").alias("subject"))
+    c = table(spark, d, "documents", "doc_id", "text").where(F.coalesce(squeeze(F.col("text")), F.lit("")) == "").select(F.lit("no_text").alias("case_type"), F.lit(3).alias("priority"), F.col("doc_id").cast("string").alias("subject"))
     cases = a.unionByName(b).unionByName(c)
     place = F.row_number().over(Window.partitionBy("case_type").orderBy("subject"))
     return cases.withColumn("case_id", F.concat(F.lit("MR"), F.lpad(place.cast("string"), 6, "0")))
@@ -305,10 +305,10 @@ g AS (SELECT k, count(*) AS n, min(i) AS i, count(DISTINCT {_key_sql('y', 2)}) A
 SELECT CASE WHEN n = 1 THEN 'UNIQUE' WHEN lacks THEN 'F' WHEN nv > 1 THEN 'E' WHEN np <= 1 THEN 'A' ELSE 'B' END AS class, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, min(i) AS first_id FROM g GROUP BY 1""",
     "condition_conflicts": _conflict_sql(["metal_symbol", "acid_primary", "extractant_primary_name", "solvent_key", "doi_primary"], _key_sql("log_D", 3), "dataset_all_metals"),
     "decade_gap_scan": "SELECT extractant, metal_symbol, round(log_D, 6) AS value, round(g, 6) AS gap FROM (SELECT *, log_D - lag(log_D) OVER (PARTITION BY extractant, metal_symbol ORDER BY log_D) AS g FROM dataset WHERE NOT isnan(log_D)) WHERE abs(g - round(g)) < 1e-6 AND round(g) <> 0",
-    "name_mismatches": """WITH s AS (SELECT extractant, CASE WHEN trim(canonical_smiles) <> '' THEN array_to_string(list_sort(string_split(trim(canonical_smiles), '.')), '.') END AS st FROM dataset), c AS (SELECT extractant, st, count(*) AS n FROM s GROUP BY ALL)
+    "name_mismatches": r"""WITH s AS (SELECT extractant, CASE WHEN regexp_matches(canonical_smiles, '\S') THEN array_to_string(list_sort(string_split(regexp_replace(canonical_smiles, '\s+', '', 'g'), '.')), '.') END AS st FROM dataset), c AS (SELECT extractant, st, count(*) AS n FROM s GROUP BY ALL)
 SELECT extractant, count(st) AS n_structures, first(st ORDER BY CASE WHEN st IS NULL THEN 0 ELSE n END DESC, st) AS modal_structure, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
-    "review_queue": f"""WITH m AS (SELECT DISTINCT canonical_measurement_id AS i, {_FLAGS} AS f, {_Y} AS y FROM dataset_all_metals),
-c AS (SELECT 'off_trend' AS case_type, 1 AS priority, i AS subject FROM m WHERE list_contains(f, 'value_off_trend') UNION ALL SELECT 'no_target', 2, i FROM m WHERE y IS NULL UNION ALL SELECT 'no_text', 3, CAST(doc_id AS VARCHAR) FROM documents WHERE coalesce(trim(text, ' '), '') = '')
+    "review_queue": rf"""WITH m AS (SELECT DISTINCT canonical_measurement_id AS i, {_FLAGS} AS f, {_Y} AS y FROM dataset_all_metals),
+c AS (SELECT 'off_trend' AS case_type, 1 AS priority, i AS subject FROM m WHERE list_contains(f, 'value_off_trend') UNION ALL SELECT 'no_target', 2, i FROM m WHERE y IS NULL UNION ALL SELECT 'no_text', 3, CAST(doc_id AS VARCHAR) FROM documents WHERE NOT coalesce(regexp_matches(text, '[^\s\x{{00a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}\x{{feff}}]'), false))
 SELECT *, 'MR' || lpad(CAST(row_number() OVER (PARTITION BY case_type ORDER BY subject) AS VARCHAR), 6, '0') AS case_id FROM c""",
     "row_ledger": f"SELECT CAST(sum(n) AS BIGINT) AS raw_rows, count(*) AS records, CAST(sum(n - 1) AS BIGINT) AS folded, count(y) AS with_target, sum(n) = count(*) + sum(n - 1) AS balanced FROM (SELECT canonical_measurement_id, count(*) AS n, max({_Y}) AS y FROM dataset_all_metals GROUP BY 1)",
 }

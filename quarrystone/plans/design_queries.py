@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.clean import doi_list, in_range, label_key, number_or_null, split_role
+from quarrystone.functions.clean import doi_list, in_range, label_key, number_or_null, split_role, squeeze
 from quarrystone.functions.keys import hash_order
 from quarrystone.operators import cohort as C
 from quarrystone.operators import curves as V
@@ -239,7 +239,7 @@ def long_to_wide_and_back(spark, d):
 def exploded_flags(spark, d):
     t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "flags").dropDuplicates(["canonical_measurement_id"])
     cat = table(spark, d, "flag_catalog")
-    return t.select("canonical_measurement_id", F.explode("flags").alias("f")).select("canonical_measurement_id", F.lower(F.trim("f")).alias("flag")).distinct().join(cat, "flag", "left").groupBy("severity", "flag").agg(F.count("*").alias("n"))
+    return t.select("canonical_measurement_id", F.explode("flags").alias("f")).select("canonical_measurement_id", F.lower(squeeze(F.col("f"))).alias("flag")).distinct().join(cat, "flag", "left").groupBy("severity", "flag").agg(F.count("*").alias("n"))
 
 
 def asof_events(spark, d):

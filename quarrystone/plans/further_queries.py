@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.clean import is_blank, number_or_null
+from quarrystone.functions.clean import is_blank, number_or_null, squeeze
 from quarrystone.operators import curves as V
 from quarrystone.operators import designs as G
 from quarrystone.operators import hull as H
@@ -109,7 +109,7 @@ def category_lists(spark, d):
     """For each record the sorted severities of its flags, joined to a text."""
     t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "flags").dropDuplicates(["canonical_measurement_id"])
     cat = F.broadcast(table(spark, d, "flag_catalog"))  # eleven rows
-    e = t.select("canonical_measurement_id", F.explode("flags").alias("f")).select("canonical_measurement_id", F.lower(F.trim("f")).alias("flag")).join(cat, "flag")
+    e = t.select("canonical_measurement_id", F.explode("flags").alias("f")).select("canonical_measurement_id", F.lower(squeeze(F.col("f"))).alias("flag")).join(cat, "flag")
     return e.groupBy("canonical_measurement_id").agg(F.array_join(F.array_sort(F.collect_set("severity")), ";").alias("severities")).groupBy("severities").agg(F.count("*").alias("n"))
 
 

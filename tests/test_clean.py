@@ -25,3 +25,4 @@ def test_references_and_structures(spark):
     assert got == [["10.9901/a.1"], ["10.9901/a.1"], [], []]
     assert _map(spark, lambda c: doi_list(c, ()), ["https://doi.example/10.99218/Metsep.2015.1, DOI 10.99219/x.2."]) == [["10.99218/metsep.2015.1", "10.99219/x.2"]]
     assert _map(spark, smiles_key, ["B.A", "A.B", "A", "", None]) == ["A.B", "A.B", "A", None, None]
+    assert _map(spark, smiles_key, ["B.A\t", " B . A", "A\n.B", "\u00a0A.B", "\t", "n/a"]) == ["A.B"] * 4 + [None, None]
