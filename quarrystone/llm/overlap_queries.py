@@ -47,8 +47,8 @@ _C = ", ".join(
 )
 _ALIKE = " AND ".join(f"((a.c{i} IS NULL AND b.c{i} IS NULL) OR abs(a.c{i} - b.c{i}) <= 0.001 * greatest(abs(a.c{i}), abs(b.c{i})))" for i in range(7))
 SQL = {
-    "p6_found": f"""
-WITH r AS (SELECT row_id, array_to_string(list_sort(string_split(trim(canonical_smiles), '.')), '.') AS s, metal_symbol AS m, log_D,
+    "p6_found": rf"""
+WITH r AS (SELECT row_id, array_to_string(list_sort(string_split(regexp_replace(canonical_smiles, '\s+', '', 'g'), '.')), '.') AS s, metal_symbol AS m, log_D,
     CASE WHEN lower(trim(split)) LIKE 'train%' THEN 1 WHEN lower(trim(split)) LIKE 'val%' OR lower(trim(split)) LIKE 'test%' THEN 0 END AS t, {_C}
   FROM dataset WHERE log_D IS NOT NULL AND NOT isnan(log_D))
 SELECT DISTINCT least(a.row_id, b.row_id) AS row_id_a, greatest(a.row_id, b.row_id) AS row_id_b
