@@ -15,9 +15,9 @@ ACID, LIGAND, METAL = r"acid|säure|\bhx\b", r"extract|ligand|extraktionsmittel"
 
 def _records(spark, d):
     """One row per record and field: the number, and each piece of evidence for its unit."""
-    known = F.broadcast(table(spark, d, "source_units").select(F.col("source_file").alias("device"), "field_name", F.col("unit").alias("file_unit")).dropDuplicates(["device", "field_name"]))
-    masses = F.broadcast(table(spark, d, "species_mass").select("kind", F.col("species").alias("of"), F.col("molar_mass")).dropDuplicates(["kind", "of"]))
-    ligands = F.broadcast(table(spark, d, "ligand_catalog").select(F.col("name").alias("of"), "molar_mass").dropDuplicates(["of"]))
+    known = table(spark, d, "source_units").select(F.col("source_file").alias("device"), "field_name", F.col("unit").alias("file_unit")).dropDuplicates(["device", "field_name"])
+    masses = table(spark, d, "species_mass").select("kind", F.col("species").alias("of"), F.col("molar_mass")).dropDuplicates(["kind", "of"])
+    ligands = table(spark, d, "ligand_catalog").select(F.col("name").alias("of"), "molar_mass").dropDuplicates(["of"])
 
     def part(df, record, field, column_unit, raw, comment, subject, of, mass):
         stated = stated_number(F.col(raw))
@@ -60,7 +60,29 @@ def p7_units(spark, d):
     return _decoded(spark, d).groupBy("field_name", "unit").agg(F.count_distinct("record_id").alias("n_records"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_units": p7_units}
+def p7_recovered(spark, d):
+    """How well the model finds units that it is not told: comment and file unit are hidden on a tenth of the records (drawn by hash) that state none at the value.
+
+    All records are decoded; per field the hidden records, those whose unit comes out right, and the same for records whose unit is not their file's.
+    """
+    records = _records(spark, d)
+    hide = F.col("value_unit").isNull() & (F.crc32("record_id") % 10 == 0)
+    told = F.coalesce("comment_unit", "file_unit")
+    asked = records.withColumn("told", F.when(hide, told)).withColumn("other", hide & ~_same(told, F.col("file_unit")))
+    asked = asked.withColumn("comment_unit", F.when(~hide, F.col("comment_unit"))).withColumn("file_unit", F.when(~hide, F.col("file_unit")))
+    out = decode_units(asked, keep=("told", "other")).where("told IS NOT NULL")
+    right = _same(F.col("unit"), F.col("told"))
+    return out.groupBy("field_name").agg(
+        F.count("*").alias("n_hidden"), F.count_if(right).alias("n_right"), F.round(F.avg(right.cast("double")), 6).alias("recall"), F.count_if("other").alias("n_unlike_file"), F.count_if(F.col("other") & right).alias("n_unlike_file_right")
+    )
+
+
+def p7_contradicted(spark, d):
+    """Per field and unit: the records, and those whose number lies a decade or more off their file's level in the unit they state and closer in another."""
+    return _decoded(spark, d).groupBy("field_name", "unit").agg(F.count_distinct("record_id").alias("n_records"), F.count_distinct(F.when(F.col("contradicts"), F.col("record_id"))).alias("n_contradicted"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_units": p7_units, "p7_recovered": p7_recovered, "p7_contradicted": p7_contradicted}
 
 
 def _packed(c):

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from unittest import mock
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quarrystone.functions.units import UNITS, micromolar, noted_unit, significant, stated_number, stated_unit
-from quarrystone.operators.unit_hmm import LEVEL_CAP, LEVEL_SD, SWITCH, WEIGHTS, _level, _logs, decode_units, viterbi_units
+from quarrystone.operators import unit_hmm
+from quarrystone.operators.unit_hmm import _decode, decode_units, viterbi_units
 
 
 def test_texts(spark):
@@ -30,24 +32,43 @@ def test_conversion(spark):
 
 
 def test_viterbi_against_all_sequences():
+    """Random scores with and without pinned records, cut into chains: the decoded sequence is the best of all."""
     rng = np.random.default_rng(0)
     for trial in range(30):
-        n, s = 5, len(UNITS)
-        value, mass = 10 ** rng.uniform(-3, 3, n), np.full(n, 50.0)
-        codes = [np.where(rng.random(n) < p, rng.integers(0, s, n), -1) for p in (0.2, 0.1, 0.2)]
-        got = viterbi_units(value, mass, codes, 0)
-        score = np.zeros((n, s))
-        for c, w in zip(codes, WEIGHTS):
-            for i in range(n):
-                if c[i] >= 0:
-                    score[i, c[i]] += w
-        ranked = np.sort(score, 1)
-        pinned = np.where(ranked[:, -1] - ranked[:, -2] > 2 * SWITCH + LEVEL_CAP, score.argmax(1), -1)
-        logs = _logs(value, mass)
-        fit = -np.minimum((logs - _level(logs, pinned, logs[:, 0])[:, None]) ** 2 / (2 * LEVEL_SD**2), LEVEL_CAP)
-        total = lambda q: sum(score[i, q[i]] + fit[i, q[i]] - (SWITCH if i and q[i] != q[i - 1] else 0) for i in range(n))  # noqa: B023, E731
-        best = max(total(q) for q in itertools.product(range(s), repeat=n))
-        assert abs(total(got) - best) < 1e-3, trial
+        n, s = 6, len(UNITS)
+        score, first = rng.normal(size=(n, s)), rng.random(s)
+        cost = rng.random((s, s)) * 2
+        pinned = rng.random(n) < 0.3
+        score[np.flatnonzero(pinned), rng.integers(0, s, int(pinned.sum()))] += 100.0
+        with mock.patch.object(unit_hmm, "CHAIN", 2):
+            got = _decode(score, first, cost, pinned)
+        total = lambda q: sum(score[i, q[i]] - (cost[q[i - 1], q[i]] if i else first[q[i]]) for i in range(n))  # noqa: B023, E731
+        assert abs(total(got) - max(map(total, itertools.product(range(s), repeat=n)))) < 1e-9, trial
+
+
+def test_chains_do_not_change_the_sequence():
+    rng = np.random.default_rng(1)
+    n = 3000
+    unit = np.where(np.arange(n) % 700 < 350, 0, 1)
+    value = 10 ** (rng.normal(5.0, 0.5, n)) / np.array([1e6, 1e3])[unit]
+    told = np.where(rng.random(n) < 0.2, unit, -1)
+    none = np.full(n, -1)
+    parts = [viterbi_units(value, np.full(n, 200.0), [none, told, none], 0)[0]]
+    with mock.patch.object(unit_hmm, "CHAIN", 10**9):
+        parts.append(viterbi_units(value, np.full(n, 200.0), [none, told, none], 0)[0])
+    assert (parts[0] == parts[1]).all()
+    right = np.where(np.isin(parts[0], (1, 2)), 1, parts[0]) == unit  # mM and mol/m3 are the same number
+    assert right.mean() > 0.97 and (parts[0][told >= 0] == told[told >= 0]).all()
+
+
+def test_stated_units_are_never_overruled_and_contradictions_are_told():
+    value = np.full(200, 0.1)
+    value[100] = 5000.0  # said to be molar, five decades off the level
+    state, off = viterbi_units(value, np.full(200, np.nan), [np.zeros(200, int), np.full(200, 1), np.full(200, 3)], 0)
+    assert (state == 0).all() and off.nonzero()[0].tolist() == [100]
+    assert viterbi_units(np.zeros(0), np.zeros(0), [np.zeros(0, int)] * 3, 0)[0].shape == (0,)
+    nothing = viterbi_units(np.full(3, np.nan), np.full(3, np.nan), [np.full(3, -1)] * 3, 1)[0]
+    assert nothing.tolist() == [1, 1, 1]
 
 
 def test_precedence_switches_and_edges(spark):
@@ -69,5 +90,5 @@ def test_a_device_switches_without_being_told():
     level[20:] *= 1000  # from here on in millimoles
     told = np.full(40, -1)
     told[:5] = 0
-    state = viterbi_units(level, np.full(40, np.nan), [told, np.full(40, -1), np.full(40, -1)], 0)
+    state, _ = viterbi_units(level, np.full(40, np.nan), [told, np.full(40, -1), np.full(40, -1)], 0)
     assert set(state[:20]) == {0} and all(UNITS[s] in ("mM", "mol/m3") for s in state[20:])
