@@ -1,15 +1,17 @@
 """Problem 2: the most similar vectors of every binary vector.
 
-An inverted file of coarse centroids holds every different vector once, with
-the product-quantised residual to its centroid. A query visits the lists of its
-nearest centroids; in each, asymmetric distance tables give a shortlist, which
-is ranked again by exact Tanimoto similarity. Centroids and codebooks are fitted
-on a bounded sample drawn by hash (SAMPLE vectors); every vector is indexed and
-every vector is a query.
+A two-level coarse quantiser (regions, and lists within each region) holds every
+different vector once, with the product-quantised residual to its list's
+centroid. A query visits its nearest lists in its nearest regions; there,
+asymmetric distance tables tell which entries can be as similar as asked for,
+and the nearest of these are ranked again by exact Tanimoto similarity.
+Centroids and codebooks are fitted on a bounded sample drawn by hash (at most
+SAMPLE vectors); every vector is indexed and every vector is a query.
 
 Equal vectors are one entry that knows its smallest ids, so copies cost nothing
-and none is lost. Lists are cut into blocks of entries and of queries, so a list
-that holds a third of all vectors is searched by many tasks.
+and none is lost. What is shipped of a query is one line per region it visits.
+Regions are cut into blocks of entries and of queries, so a region that holds a
+third of all vectors is searched by many tasks.
 """
 
 from __future__ import annotations
@@ -18,38 +20,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.sources.tables import cut
 
-SAMPLE = 40_960
+SAMPLE = 262_144  # vectors the quantisers are fitted on, at most; 8 a list and 40,960 where the lists need no more
+LEAST_SAMPLE = 40_960
 SUBSPACES = 8
 CODES = 64
-SHORTLIST = 32  # per query and list, ranked again exactly
-BLOCK = 4_096  # entries of a list's block
-QUERIES = 65_536  # queries of a list's block
+CELLS = 262_144  # pairs of entries and queries looked at a time
+FEW = 0.05  # share of such pairs up to which they are ranked again one by one and not as a matrix
+BLOCK = 65_536  # entries of a region's block
+QUERIES = 65_536  # queries of a region's block
+REGIONS = 12  # visited by a query
+SCALE = 64.0  # steps of a squared distance of 1 in the integer tables
 
 
 def pack_vectors(df: DataFrame, id_: str, vector: str, length: int) -> DataFrame:
     """(id, bits) of the usable rows: vectors of `length` elements, none NULL or NaN, not all zero; elements above 0.5 are ones."""
-    v = F.col(f"`{vector}`")
-    usable = df.where(v.isNotNull() & (F.size(v) == length) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x > 0.5))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
-                bits = np.packbits(rows > 0.5, axis=1)
-                width = bits.shape[1]
-                flat = pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(np.arange(0, (len(bits) + 1) * width, width, dtype=np.int32)), pa.py_buffer(bits.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), flat], names=["id", "bits"])
+            lists = batch.column(1)
+            right = np.flatnonzero(np.asarray(lists.value_lengths().fill_null(-1)) == length)
+            flat = lists.take(pa.array(right)).flatten()
+            rows = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, length)
+            ones = rows > 0.5
+            good = ~np.isnan(rows).any(1) & ones.any(1)
+            bits = np.packbits(ones[good], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(right[good])).cast(pa.int64()), _binary(bits)], names=["id", "bits"])
 
-    return usable.select(F.col(f"`{id_}`").cast("long").alias("id"), v.alias("v")).mapInArrow(pack, "id long, bits binary")
+    return df.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id IS NOT NULL").mapInArrow(pack, "id long, bits binary")
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
 def _bits(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """The packed bytes of a binary column as rows."""
+    """The bytes of a binary column as rows."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
@@ -86,55 +99,154 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def fit_index(sample: np.ndarray, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, codebooks) fitted on packed sample rows for an index of n entries."""
-    x = _floats(sample)
-    lists = int(2 ** np.clip(np.round(np.log2(4 * np.sqrt(max(n, 1)))), 0, 12))
-    lists = max(1, min(lists, len(x) // 4))
-    centres = _kmeans(x, lists, 6, seed)
-    residual = x - centres[_nearest(x, centres)[:, 0]]
-    step = x.shape[1] // SUBSPACES
-    k = max(1, min(CODES, len(x)))
-    books = np.stack([_kmeans(np.ascontiguousarray(residual[:, m * step : (m + 1) * step]), k, 5, seed + m + 1) for m in range(SUBSPACES)])
-    return centres, books
-
-
-def _encode(x: np.ndarray, centres: np.ndarray, at: np.ndarray, books: np.ndarray) -> np.ndarray:
-    residual, step = x - centres[at], x.shape[1] // SUBSPACES
-    return np.stack([_nearest(residual[:, m * step : (m + 1) * step], books[m])[:, 0] for m in range(SUBSPACES)], axis=1).astype(np.uint8)
-
-
-def _search(q_bits: np.ndarray, q_id: np.ndarray, d_bits: np.ndarray, d_id: np.ndarray, codes: np.ndarray, centre: np.ndarray, books: np.ndarray, k: int, least: float):
-    """(query, entry, similarity) of the k best entries of one list block for each query, at least `least` similar, ties to smaller ids."""
-    step = q_bits.shape[1] * 8 // SUBSPACES
-    d64, q64 = np.ascontiguousarray(d_bits).view(np.uint64), np.ascontiguousarray(q_bits).view(np.uint64)
-    d_ones, q_ones = np.bitwise_count(d64).sum(1).astype(np.int32), np.bitwise_count(q64).sum(1).astype(np.int32)
-    book_half = (books * books).sum(2) / 2
-    rank = np.empty(len(d_id), np.int64)  # blocks hold fewer than 2**20 entries
-    rank[d_id.argsort()] = np.arange(len(d_id))
-    parts = []
-    for a in range(0, len(q_id), 512):
-        rows = slice(a, a + 512)
-        residual = _floats(q_bits[rows]) - centre
-        if len(d_id) > SHORTLIST:
-            far = np.zeros((len(residual), len(d_id)), np.float32)
-            for m in range(SUBSPACES):
-                tables = book_half[m][None] - residual[:, m * step : (m + 1) * step] @ books[m].T
-                far += tables[:, codes[:, m]]
-            short = np.argpartition(far, SHORTLIST - 1, axis=1)[:, :SHORTLIST]
-        else:
-            short = np.broadcast_to(np.arange(len(d_id)), (len(residual), len(d_id)))
-        both = np.bitwise_count(q64[rows][:, None, :] & d64[short]).sum(2, dtype=np.int32)
-        alike = both / (q_ones[rows][:, None] + d_ones[short] - both)
-        # Different ratios of counts up to 1024 differ by more than 2**-21, so similarity and id order fit one integer key.
-        key = (np.int64(1 << 24) - np.rint(alike * (1 << 22)).astype(np.int64)) << 20 | rank[short]
-        alike = np.where(d_id[short] == q_id[rows][:, None], -1.0, alike)
-        key[alike < 0] = np.iinfo(np.int64).max
-        best = np.argpartition(key, k - 1, axis=1)[:, :k] if key.shape[1] > k else np.broadcast_to(np.arange(key.shape[1]), key.shape)
-        alike, ids = np.take_along_axis(alike, best, 1), d_id[np.take_along_axis(short, best, 1)]
-        keep = alike >= max(least, 0.0)
-        parts.append((np.broadcast_to(q_id[rows][:, None], ids.shape)[keep], ids[keep], alike[keep]))
-    return [np.concatenate(p) for p in zip(*parts, strict=True)]
+class Index:
+    """The quantisers: regions, lists (grouped by region, region r has first[r] .. first[r + 1] - 1), codebooks, and how far estimates of squared distances may lie above the truth."""
+
+    def __init__(self, sample: np.ndarray, n: int, seed: int = 11):
+        x = _floats(sample)
+        wanted = max(1, min(int(2 ** np.round(np.log2(4 * np.sqrt(max(n, 1))))), len(x) // 4))
+        self.regions = _kmeans(x, max(1, int(2 ** np.ceil(np.log2(wanted) / 2))), 8, seed)
+        at = _nearest(x, self.regions)[:, 0]
+        parts, first = [], [0]
+        for r in range(len(self.regions)):
+            mine = x[at == r]
+            k = min(len(mine), max(1, round(wanted * len(mine) / len(x))))
+            parts.append(_kmeans(mine, k, 6, seed + r) if k else self.regions[r : r + 1])
+            first.append(first[-1] + len(parts[-1]))
+        self.lists, self.first = np.concatenate(parts), np.array(first)
+        self.step = x.shape[1] // SUBSPACES
+        own = self.visit(x, 1)[:, 0]
+        residual = x - self.lists[own]
+        k = max(1, min(CODES, len(x)))
+        self.books = np.stack([_kmeans(np.ascontiguousarray(residual[:, m * self.step : (m + 1) * self.step]), k, 5, seed + m + 1) for m in range(SUBSPACES)])
+        # The estimate is furthest off for near pairs: those of a vector and its nearest in the sample.
+        asked, held = slice(0, min(512, len(x))), slice(0, min(16_384, len(x)))
+        true = _squared(x[asked], x[held])
+        true[true < 0.5] = np.inf
+        other = true.argmin(1)
+        near = self.lists[own[other]] + self.decode(self.encode(x[other], own[other]))
+        gap = ((x[asked] - near) ** 2).sum(1) - true[np.arange(len(other)), other]
+        self.margin = float(np.quantile(gap[np.isfinite(gap)], 0.995)) if np.isfinite(gap).any() else np.inf
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        """The index with the given attributes: what is broadcast is plain arrays, as workers need no copy of this package."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
+    def visit(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest lists of each row, nearest first, in its nearest regions; -1 where these have fewer."""
+        lot = min(REGIONS if probes > 1 else 2, len(self.regions))
+        regions = _nearest(x, self.regions, lot)
+        most = int(np.diff(self.first).max())
+        far, names = np.full((len(x), lot * most), np.inf, np.float32), np.full((len(x), lot * most), -1, np.int32)
+        for r in np.unique(regions):
+            a, b = self.first[r], self.first[r + 1]
+            rows, slot = np.nonzero(regions == r)
+            d = (self.lists[a:b] ** 2).sum(1)[None] / 2 - x[rows] @ self.lists[a:b].T
+            columns = slot[:, None] * most + np.arange(b - a)[None]
+            far[rows[:, None], columns], names[rows[:, None], columns] = d, np.arange(a, b)[None]
+        k = min(probes, far.shape[1])
+        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(1, kind="stable"), 1)
+        return np.take_along_axis(names, near, 1)
+
+    def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        residual = x - self.lists[own]
+        return np.stack([_nearest(residual[:, m * self.step : (m + 1) * self.step], self.books[m])[:, 0] for m in range(SUBSPACES)], axis=1).astype(np.uint8)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.books[m][codes[:, m]] for m in range(SUBSPACES)], axis=1)
+
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """The asymmetric tables of the queries: (subspace, code, query) inner products with the codebooks; they serve all lists."""
+        return np.stack([self.books[m] @ x[:, m * self.step : (m + 1) * self.step].T for m in range(SUBSPACES)])
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+
+
+class _Block:
+    """Entries of a region's block, in order of their lists."""
+
+    def __init__(self, index: Index, lists: np.ndarray, ids: np.ndarray, bits: np.ndarray, codes: np.ndarray):
+        order = np.argsort(lists, kind="stable")
+        self.index, self.lists, self.ids = index, lists[order], ids[order]
+        self.codes, self.rooms = codes[order], {}
+        self.words = np.ascontiguousarray(bits[order]).view(np.uint64)
+        self.wide = np.ascontiguousarray(self.words.T)
+        self.ones = np.bitwise_count(self.words).sum(1).astype(np.int32)
+        near = index.decode(self.codes)
+        self.bias = np.rint(((near * near).sum(1) + 2 * (near * index.lists[self.lists]).sum(1)) * SCALE).astype(np.int32)
+
+    def search(self, at: np.ndarray, q_list: np.ndarray, q_id: np.ndarray, q_bits: np.ndarray, k: int, least: float):
+        """(query id, entry id, similarity) of the k best entries of each query among its lists, at least `least` similar, ties to smaller ids. at, q_list: which query visits which list."""
+        x, words = _floats(q_bits), np.ascontiguousarray(q_bits).view(np.uint64)
+        ones = np.bitwise_count(words).sum(1).astype(np.int32)
+        # |q - x|^2 is |q or x| - |q and x|; of at least the similarity t it is at most (1 - t) / t of q's ones.
+        bound = (1 - least) / least * ones + self.index.margin if least > 0 else np.full(len(ones), np.inf)
+        self.least, found = max(least, 0.0), []
+        order = np.argsort(q_list, kind="stable")
+        at, q_list = at[order], q_list[order]
+        names, starts = np.unique(q_list, return_index=True)
+        for name, queries in zip(names, np.split(at, starts[1:]), strict=True):
+            a, b = np.searchsorted(self.lists, [name, name + 1])
+            if a == b:
+                continue
+            centre = self.index.lists[name]
+            lot = min(1024, max(8, CELLS // (b - a)))
+            for rows in np.split(queries, range(lot, len(queries), lot)):
+                found.append(self._one_list(a, b, x[rows], words, ones, rows, centre, bound[rows]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        qi, di, alike = (np.concatenate(f) for f in zip(*found, strict=True))
+        keep = q_id[qi] != self.ids[di]
+        qi, di, alike = qi[keep], di[keep], alike[keep]
+        order = np.lexsort((self.ids[di], -alike, qi))
+        qi, di, alike = qi[order], di[order], alike[order]
+        start = np.flatnonzero(np.diff(qi, prepend=-1))
+        place = np.arange(len(qi)) - np.repeat(start, np.diff(np.append(start, len(qi))))
+        best = place < k
+        return q_id[qi[best]], self.ids[di[best]], alike[best]
+
+    def _room(self, kind, shape: tuple[int, int], slot: int) -> np.ndarray:
+        """An array that is used again by every call."""
+        n = shape[0] * shape[1]
+        if slot not in self.rooms or len(self.rooms[slot]) < n:
+            self.rooms[slot] = np.empty(max(n, 2 * CELLS), kind)
+        return self.rooms[slot][:n].reshape(shape)
+
+    def _one_list(self, a, b, x, words, ones, rows, centre, bound):
+        """(query, entry, similarity) of the entries a .. b of one list that the tables let be similar enough to each of the queries `rows`."""
+        tables = np.rint(self.index.tables(x) * (-2 * SCALE)).astype(np.int32)
+        shape = (b - a, len(rows))
+        far, step = self._room(np.int32, shape, 0), self._room(np.int32, shape, 1)
+        far[:] = self.bias[a:b, None]
+        for m in range(SUBSPACES):
+            np.take(tables[m], self.codes[a:b, m], axis=0, out=step, mode="clip")
+            far += step
+        limit = np.clip((bound - ((x - centre) ** 2).sum(1)) * SCALE, -(2.0**30), 2.0**30).astype(np.int32)
+        near = far <= limit[None]
+        if np.count_nonzero(near) > FEW * near.size:
+            # Many pairs may qualify: count the common ones of all of them word by word.
+            # Up to 256 bits a count fits a byte: only equal vectors, which are one entry, have more in common than 255.
+            kind = np.uint8 if words.shape[1] <= 4 else np.uint16
+            both, hits, shared = self._room(kind, shape, 2), self._room(np.uint8, shape, 3), self._room(np.uint64, shape, 4)
+            for w in range(words.shape[1]):
+                np.bitwise_and(self.wide[w, a:b, None], words[rows, w][None], out=shared)
+                np.bitwise_count(shared, out=hits)
+                both[:] = hits if w == 0 else both + hits
+            # Similarity t asks for t / (1 + t) of the ones of both sides; rounded down here, exact below.
+            half = lambda n: np.minimum(np.floor(n * (self.least / (1 + self.least)) - 1e-9).clip(0), np.iinfo(kind).max // 2).astype(kind)
+            near &= both >= half(self.ones[a:b])[:, None] + half(ones[rows])[None]
+        di, qi = np.divmod(np.flatnonzero(near), len(rows))
+        di, qi = di + a, rows[qi]
+        both = np.bitwise_count(words[qi] & self.words[di]).sum(1, dtype=np.int32)
+        alike = both / (ones[qi] + self.ones[di] - both)
+        keep = alike >= self.least
+        return qi[keep], di[keep], alike[keep]
 
 
 def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 24, length: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -153,45 +265,54 @@ def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int
     entries = cut(few.groupBy("bits").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("entry"), "bits", "ids", F.size("ids").alias("n_listed")))
     spark = packed.sparkSession
     n = entries.count()
-    sample = entries.select("entry", "bits").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("bits").collect()
+    size = int(min(SAMPLE, max(LEAST_SAMPLE, 32 * np.sqrt(n))))
+    sample = entries.select("entry", "bits").orderBy(F.xxhash64("entry"), "entry").limit(size).select("bits").collect()
     schema = "entry long, other long, similarity double"
     if not sample:
         return entries, spark.createDataFrame([], schema + ", place int")
-    centres, books = fit_index(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.uint8).reshape(-1, width), n)
-    probes = min(probes, len(centres))
-    model = spark.sparkContext.broadcast((centres, books))
+    index = Index(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.uint8).reshape(-1, width), n)
+    model = spark.sparkContext.broadcast(vars(index))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, books = model.value
+        index = Index.of(model.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 x = _floats(_bits(part.column(1), width))
-                near = _nearest(x, centres, probes)
-                codes = _encode(x, centres, near[:, 0], books)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, probes, dtype=np.int32)), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), lists], names=["entry", "bits", "n_listed", "code", "lists"])
-
-    indexed = cut(entries.select("entry", "bits", "n_listed").mapInArrow(assign, "entry long, bits binary, n_listed int, code binary, lists array<int>"))
-    held = indexed.select(F.col("lists")[0].alias("list"), "entry", "bits", "code")
-    asking = indexed.where(F.col("n_listed") <= k).select(F.explode("lists").alias("list"), "entry", "bits")
-    blocks = held.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("d_blocks")).join(asking.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks")), "list")
-    blocks = F.broadcast(cut(blocks))  # one row per list, at most 4096
+                near = index.visit(x, probes)
+                own = near[:, 0]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
+                region = np.searchsorted(index.first, own, side="right") - 1
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(region.astype(np.int32)), pa.array(own), _binary(index.encode(x, own)), lists], names=["entry", "bits", "n_listed", "region", "own", "code", "lists"])
+
+    indexed = cut(entries.select("entry", "bits", "n_listed").mapInArrow(assign, "entry long, bits binary, n_listed int, region int, own int, code binary, lists array<int>"))
+    starts = F.array(*[F.lit(int(a)) for a in index.first])  # one a region, at most 256
+    visited = F.filter("lists", lambda v: v >= 0)
+    region_of = lambda v: F.size(F.filter(starts, lambda s: s <= v)) - 1
+    regions = F.array_distinct(F.transform(visited, region_of))
+    asking = indexed.where(F.col("n_listed") <= k).select("entry", "bits", visited.alias("lists"), F.explode(regions).alias("region"))
+    held = indexed.select("region", "entry", "bits", "code", "own")
+    parts = lambda n: F.ceil(F.count("*") / n).cast("int")
+    blocks = cut(held.groupBy("region").agg(parts(BLOCK).alias("d_blocks")).join(asking.groupBy("region").agg(parts(QUERIES).alias("q_blocks")), "region"))  # one row a region
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("entry"), F.col(c)).cast("int")
-    held = held.join(blocks, "list").select("list", own("d_blocks").alias("d"), span("q_blocks").alias("q"), "entry", "bits", "code")
-    asking = asking.join(blocks, "list").select(F.col("list").alias("q_list"), own("q_blocks").alias("q_q"), span("d_blocks").alias("q_d"), F.col("entry").alias("q_entry"), F.col("bits").alias("q_bits"))
+    held = held.join(F.broadcast(blocks), "region").select("region", own("d_blocks").alias("d"), span("q_blocks").alias("q"), "entry", "bits", "code", "own")
+    asking = asking.join(F.broadcast(blocks), "region").select(F.col("region").alias("q_region"), own("q_blocks").alias("q_q"), span("d_blocks").alias("q_d"), F.col("entry").alias("q_entry"), F.col("bits").alias("q_bits"), F.col("lists").alias("q_lists"))
     out = pa.schema([("entry", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
 
     def search(key, entries_: pa.Table, queries: pa.Table) -> pa.Table:
         if not entries_.num_rows or not queries.num_rows:
             return out.empty_table()
-        centres, books = model.value
-        codes = np.frombuffer(b"".join(entries_.column("code").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-        found = _search(_bits(queries.column("q_bits"), width), queries.column("q_entry").to_numpy(), _bits(entries_.column("bits"), width), entries_.column("entry").to_numpy(), codes, centres[key[0].as_py()], books, k, least)
+        index = Index.of(model.value)
+        block = _Block(index, entries_.column("own").to_numpy(), entries_.column("entry").to_numpy(), _bits(entries_.column("bits"), width), _bits(entries_.column("code"), SUBSPACES))
+        lists = queries.column("q_lists").combine_chunks()
+        at, name = np.asarray(pa.compute.list_parent_indices(lists)), np.asarray(lists.flatten())
+        r = key[0].as_py()
+        here = (name >= index.first[r]) & (name < index.first[r + 1])
+        found = block.search(at[here], name[here], queries.column("q_entry").to_numpy(), _bits(queries.column("q_bits"), width), k, least)
         return pa.Table.from_arrays([pa.array(f) for f in found], schema=out)
 
-    near = held.groupBy("list", "d", "q").cogroup(asking.groupBy("q_list", "q_d", "q_q")).applyInArrow(search, schema)
+    near = held.groupBy("region", "d", "q").cogroup(asking.groupBy("q_region", "q_d", "q_q")).applyInArrow(search, schema)
     place = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("similarity"), "other"))
     return entries, near.withColumn("place", place).where(F.col("place") <= k)
 
