@@ -164,6 +164,18 @@ class Index:
         return np.stack([self.books[m] @ x[:, m * self.step : (m + 1) * self.step].T for m in range(SUBSPACES)])
 
 
+def _visits(index: Index, near: np.ndarray) -> pa.Array:
+    """Per row of visited lists (-1 for none): (region, its visited lists numbered within it) of each region."""
+    lists = np.sort(near, axis=1)
+    region = np.searchsorted(index.first, lists, side="right") - 1
+    real = lists >= 0
+    opens = real & (np.diff(region, axis=1, prepend=-2) != 0)
+    flat, starts = (lists - index.first[region])[real].astype(np.int16), np.flatnonzero(opens[real])
+    inner = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)).astype(np.int32)), pa.array(flat))
+    pairs = pa.StructArray.from_arrays([pa.array(region[opens].astype(np.int32)), inner], names=["region", "lists"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(opens.sum(1))).astype(np.int32)), pairs)
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
 
@@ -281,16 +293,11 @@ def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int
                 x = _floats(_bits(part.column(1), width))
                 near = index.visit(x, probes)
                 own = near[:, 0]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
                 region = np.searchsorted(index.first, own, side="right") - 1
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(region.astype(np.int32)), pa.array(own), _binary(index.encode(x, own)), lists], names=["entry", "bits", "n_listed", "region", "own", "code", "lists"])
-
-    indexed = cut(entries.select("entry", "bits", "n_listed").mapInArrow(assign, "entry long, bits binary, n_listed int, region int, own int, code binary, lists array<int>"))
-    starts = F.array(*[F.lit(int(a)) for a in index.first])  # one a region, at most 256
-    visited = F.filter("lists", lambda v: v >= 0)
-    region_of = lambda v: F.size(F.filter(starts, lambda s: s <= v)) - 1
-    regions = F.array_distinct(F.transform(visited, region_of))
-    asking = indexed.where(F.col("n_listed") <= k).select("entry", "bits", visited.alias("lists"), F.explode(regions).alias("region"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(region.astype(np.int32)), pa.array(own), _binary(index.encode(x, own)), _visits(index, near)], names=["entry", "bits", "n_listed", "region", "own", "code", "visits"])
+
+    indexed = cut(entries.select("entry", "bits", "n_listed").mapInArrow(assign, "entry long, bits binary, n_listed int, region int, own int, code binary, visits array<struct<region:int,lists:array<short>>>"))
+    asking = indexed.where(F.col("n_listed") <= k).select("entry", "bits", F.explode("visits").alias("v")).select("entry", "bits", "v.region", "v.lists")
     held = indexed.select("region", "entry", "bits", "code", "own")
     parts = lambda n: F.ceil(F.count("*") / n).cast("int")
     blocks = cut(held.groupBy("region").agg(parts(BLOCK).alias("d_blocks")).join(asking.groupBy("region").agg(parts(QUERIES).alias("q_blocks")), "region"))  # one row a region
@@ -306,15 +313,15 @@ def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int
         index = Index.of(model.value)
         block = _Block(index, entries_.column("own").to_numpy(), entries_.column("entry").to_numpy(), _bits(entries_.column("bits"), width), _bits(entries_.column("code"), SUBSPACES))
         lists = queries.column("q_lists").combine_chunks()
-        at, name = np.asarray(pa.compute.list_parent_indices(lists)), np.asarray(lists.flatten())
-        r = key[0].as_py()
-        here = (name >= index.first[r]) & (name < index.first[r + 1])
-        found = block.search(at[here], name[here], queries.column("q_entry").to_numpy(), _bits(queries.column("q_bits"), width), k, least)
-        return pa.Table.from_arrays([pa.array(f) for f in found], schema=out)
+        at, name = np.asarray(pa.compute.list_parent_indices(lists)), np.asarray(lists.flatten()).astype(np.int64) + index.first[key[0].as_py()]
+        found = block.search(at, name, queries.column("q_entry").to_numpy(), _bits(queries.column("q_bits"), width), k, least)
+        # What a query finds is told to the entry found as well, which may not have visited the query's list.
+        q, e, alike = found
+        return pa.Table.from_arrays([pa.array(np.concatenate(f)) for f in ((q, e), (e, q), (alike, alike))], schema=out)
 
     near = held.groupBy("region", "d", "q").cogroup(asking.groupBy("q_region", "q_d", "q_q")).applyInArrow(search, schema)
-    place = F.row_number().over(Window.partitionBy("entry").orderBy(F.desc("similarity"), "other"))
-    return entries, near.withColumn("place", place).where(F.col("place") <= k)
+    place = F.dense_rank().over(Window.partitionBy("entry").orderBy(F.desc("similarity"), "other"))
+    return entries, near.withColumn("place", place).where(F.col("place") <= k).dropDuplicates(["entry", "other"])
 
 
 def similar_pairs(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 24, length: int = 256) -> DataFrame:
