@@ -2,7 +2,7 @@
 
 A symmetric-delete dictionary of the list (every entry with up to two letters
 deleted) is built on the driver and shipped to the workers: its size is bounded
-by the list, whose length is checked against `max_entries`. A typed value is
+by the list, whose length is checked (a longer list is joined instead). Every different typed value is
 reduced to its letters and digits, looked up as it is, and else by its own
 deletes; candidates within the edit distance allowed for their length are ranked
 by weighted Damerau-Levenshtein distance, then by how often the reference entry
@@ -116,18 +116,55 @@ def find(index: Index, typed: str) -> tuple[int, float]:
     return (min(ranked)[2], min(ranked)[0]) if ranked else (0, -1.0)
 
 
-def load_catalog(catalog: DataFrame, entry_id: str, name: str, synonyms: str, seen: DataFrame | None = None, max_entries: int = 100_000) -> Index:
-    """The dictionary of a reference list; seen: (name, n) of how often each name occurs. Raises beyond max_entries."""
-    rows = catalog.select(entry_id, name, synonyms).limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"the reference list has more than {max_entries} entries")
-    often = {}
-    if seen is not None:
-        names = catalog.select(F.col(name).alias("_name")).distinct()
-        often = {r[0]: r[1] for r in seen.toDF("_name", "n").join(F.broadcast(names), "_name", "left_semi").collect()}
-    entries = [(r[0], r[1], False, often.get(r[1], 0)) for r in rows if r[1] is not None]
-    entries += [(r[0], s, True, often.get(r[1], 0)) for r in rows for s in (r[2] or []) if s is not None]
-    return build_index(entries)
+def catalog_spellings(catalog: DataFrame, entry_id: str, name: str, synonyms: str, seen: DataFrame | None = None) -> DataFrame:
+    """(entry, spelling, synonym, seen) of a reference list: every name and synonym; seen: (name, n) of how often each name occurs."""
+    rows = catalog.select(F.col(entry_id).cast("long").alias("entry"), F.col(name).alias("name"), F.col(synonyms).alias("others"))
+    often = seen.toDF("name", "n").where("name IS NOT NULL").groupBy("name").agg(F.sum("n").alias("n")) if seen is not None else rows.select("name", F.lit(0).cast("long").alias("n")).limit(0)
+    each = F.explode(F.concat(F.array(F.struct(F.col("name").alias("spelling"), F.lit(False).alias("synonym"))), F.transform(F.coalesce("others", F.array().cast("array<string>")), lambda s: F.struct(s.alias("spelling"), F.lit(True).alias("synonym")))))
+    return rows.join(often, "name", "left").select("entry", each.alias("s"), F.coalesce("n", F.lit(0)).alias("seen")).select("entry", "s.spelling", "s.synonym", "seen").where("spelling IS NOT NULL AND entry IS NOT NULL")
+
+
+def match_values(values: DataFrame, spellings: DataFrame, max_shipped: int = 100_000) -> DataFrame:
+    """(typed, entry_id, distance) of every different value of the one-column table `values`, NULL left out; entry 0 and distance -1 where nothing matches.
+
+    A list of up to max_shipped spellings travels to the workers as a dictionary; a longer one is joined, delete by
+    delete, with the same result.
+    """
+    typed = values.toDF("typed").where("typed IS NOT NULL").distinct()
+    rows = spellings.limit(max_shipped + 1).collect()
+    if len(rows) > max_shipped:
+        return _match_by_join(typed, spellings)
+    index = build_index([(r["entry"], r["spelling"], r["synonym"], r["seen"]) for r in rows])
+    spread = typed.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number, as look-ups cost more than their bytes tell
+    return spread.withColumn("hit", match_column(values.sparkSession, F.col("typed"), index)).select("typed", "hit.entry_id", "hit.distance")
+
+
+def _match_by_join(typed: DataFrame, spellings: DataFrame) -> DataFrame:
+    @F.pandas_udf("string")
+    def key_of(s: pd.Series) -> pd.Series:
+        return s.map(typed_key)
+
+    @F.pandas_udf("array<string>")
+    def near(s: pd.Series) -> pd.Series:
+        return s.map(lambda k: sorted(deletes(k, 2)))
+
+    @F.pandas_udf("array<string>")
+    def near_entry(s: pd.Series) -> pd.Series:
+        return s.map(lambda k: sorted(deletes(k, allowed(len(k)))))
+
+    @F.pandas_udf("double")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([weighted_distance(x, y, allowed(len(y))) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    rank = F.struct(F.col("synonym").cast("int").alias("s"), (-F.col("seen")).alias("n"), F.col("entry"))
+    entries = spellings.withColumn("spelled", key_of("spelling")).where("spelled <> ''").groupBy("spelled").agg(F.min(rank).alias("rank"))
+    longest = entries.agg(F.max(F.length("spelled"))).scalar()
+    keyed = typed.withColumn("key", key_of("typed"))
+    exact = keyed.join(entries, F.col("key") == F.col("spelled"), "left").select("typed", "key", "rank")
+    open_ = exact.where(F.col("rank").isNull() & (F.length("key") <= longest + 2)).select("typed", "key", F.explode(near("key")).alias("cut"))
+    met = open_.join(entries.select("spelled", "rank", F.explode(near_entry("spelled")).alias("cut")), "cut").select("typed", "key", "spelled", "rank").distinct()
+    best = met.withColumn("w", apart("key", "spelled")).where(F.col("w").isNotNull() & ~F.isnan("w")).groupBy("typed").agg(F.min(F.struct("w", "rank")).alias("b"))
+    return exact.join(best, "typed", "left").select("typed", F.coalesce("rank.entry", "b.rank.entry", F.lit(0)).alias("entry_id"), F.when(F.col("rank").isNotNull(), 0.0).otherwise(F.coalesce("b.w", F.lit(-1.0))).alias("distance"))
 
 
 RESULT = T.StructType([T.StructField("entry_id", T.LongType()), T.StructField("distance", T.DoubleType())])

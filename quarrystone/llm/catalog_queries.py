@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions.clean import is_blank
-from quarrystone.llm.catalog_match import load_catalog, match_column
+from quarrystone.llm.catalog_match import catalog_spellings, match_values
 from quarrystone.sources.tables import table
 
 
@@ -13,11 +13,10 @@ def _mapped(spark, d, source, record, typed, catalog, entry):
     """One row per record whose typed value is neither blank nor a catalogue name, with its entry."""
     rows = table(spark, d, source, record, typed)
     names = table(spark, d, catalog, entry, "name", "synonyms")
-    index = load_catalog(names, entry, "name", "synonyms", rows.groupBy(typed).agg(F.count("*").alias("n")))
-    other = rows.where(~is_blank(F.col(typed))).join(F.broadcast(names.select(F.col("name").alias(typed))), typed, "left_anti")
+    spellings = catalog_spellings(names, entry, "name", "synonyms", rows.groupBy(typed).agg(F.count("*").alias("n")))
+    other = rows.where(~is_blank(F.col(typed))).join(names.select(F.col("name").alias(typed)), typed, "left_anti")
     once = other.select(F.col(record).alias("record_id"), F.col(typed).alias("typed")).distinct()
-    hit = once.withColumn("hit", match_column(spark, F.col("typed"), index))
-    return hit.select(F.lit(typed).alias("field_name"), "record_id", "typed", "hit.entry_id", "hit.distance")
+    return once.join(match_values(once.select("typed"), spellings), "typed").select(F.lit(typed).alias("field_name"), "record_id", "typed", "entry_id", "distance")
 
 
 def _both(spark, d):

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm.catalog_match import allowed, build_index, find, load_catalog, match_column, typed_key, weighted_distance
+from quarrystone.llm.catalog_match import allowed, build_index, catalog_spellings, find, match_column, match_values, typed_key, weighted_distance
 
 NAMES = [(1, "Fenunepine amide"), (2, "Silinozamide 415"), (3, "Silinozamide 118"), (4, "toluene"), (5, "1,2-dichloroethane")]
 
@@ -55,10 +55,26 @@ def test_lookup_finds_all_within_reach():
     assert find(index, "Silinozamide 415 *")[0] == 2 and find(index, "Zutemigol")[0] == 0 and find(index, "x" * 5000)[0] == 0
 
 
+def _catalog(spark, rows):
+    return spark.createDataFrame(rows, "id long, name string, synonyms array<string>")
+
+
 def test_column(spark):
-    catalog = spark.createDataFrame([(1, "toluene", ["PhMe"]), (2, "dodecane", None)], "id long, name string, synonyms array<string>")
     df = spark.createDataFrame([(1, "tolune"), (2, None), (3, ""), (4, "dodecane"), (5, "dodecane"), (6, "unknown thing")], "k int, typed string")
-    index = load_catalog(catalog, "id", "name", "synonyms", df.groupBy("typed").agg(F.count("*").alias("n")))
+    index = build_index([(1, "toluene", False, 0), (1, "PhMe", True, 0), (2, "dodecane", False, 2)])
     got = {r["k"]: r["h"] for r in df.withColumn("h", match_column(spark, F.col("typed"), index)).collect()}
     assert got[1]["entry_id"] == 1 and got[2]["entry_id"] is None and got[3]["entry_id"] == 0 and got[4]["entry_id"] == got[5]["entry_id"] == 2 and got[6]["entry_id"] == 0
     assert df.where("false").withColumn("h", match_column(spark, F.col("typed"), index)).count() == 0
+
+
+def test_joined_lists_match_like_shipped_ones(spark):
+    """Names of over 80 letters, short names that lost a letter, ties, NULLs and repeats, through the dictionary and through the join."""
+    long = "bis(2,4,4-trimethylpentyl)" * 4 + " phosphinic acid"
+    catalog = _catalog(spark, [(1, "toluene", ["PhMe", None]), (2, "dodecane", None), (3, long, []), (4, "MIBK", []), (5, "abcdefgh", []), (6, "abcdefgi", []), (7, None, ["seven of nine"])])
+    typed = ["tolune", "dodecane", "Dodecaen", long[:-1] + "x", long[:40] + "!" + long[40:], "MBK", "abcdefgj", "phm", "nothing like it", "", "seven of nin", "y" * 100_000, None, "tolune"]
+    df = spark.createDataFrame([(t,) for t in typed], "typed string")
+    spellings = catalog_spellings(catalog, "id", "name", "synonyms", spark.createDataFrame([("abcdefgi", 5), (None, 2)], "name string, n long"))
+    shipped, joined = ({r["typed"]: (r["entry_id"], r["distance"]) for r in match_values(df, spellings, most).collect()} for most in (100, 3))
+    assert shipped == joined and len(shipped) == 12
+    assert {t: shipped[t][0] for t in typed if t is not None} == {"tolune": 1, "dodecane": 2, "Dodecaen": 2, long[:-1] + "x": 3, long[:40] + "!" + long[40:]: 3, "MBK": 4, "abcdefgj": 6, "phm": 1, "nothing like it": 0, "": 0, "seven of nin": 7, "y" * 100_000: 0}
+    assert match_values(df.where("false"), spellings).count() == 0 and match_values(df, spellings.where("false")).where("entry_id <> 0").count() == 0
