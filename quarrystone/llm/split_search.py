@@ -88,7 +88,8 @@ def search_splits(sizes: DataFrame, proportions: dict[str, float], n_units: int
     most n_units of them; all others are laid by hash into n_units bundles that
     move as one, so the search sees at most 2 * n_units units however many
     components there are, and no component is ever split. Labels beyond the
-    max_labels most frequent count as one. Chains start from the hashed
+    max_labels most frequent are laid by hash into max_labels bins, each balanced
+    like a label. Chains start from the hashed
     assignment; the best (energy, chain) wins. An empty table stays empty.
     """
     spark = sizes.sparkSession
@@ -101,13 +102,16 @@ def search_splits(sizes: DataFrame, proportions: dict[str, float], n_units: int
     per = sizes.groupBy("component").agg(F.sum("n").alias("size"))
     hashed = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("component"), F.lit(n_units)).cast("string"))
     unit_of = per.select("component", F.when(F.col("size") > total / n_units, F.concat(F.lit("own "), F.col("component"))).otherwise(hashed).alias("unit"))
-    code = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in frequent if x is not None]).cast("array<string>"), F.col("label")), F.lit(0)) if frequent else F.lit(0)
-    units = sizes.join(unit_of, "component").groupBy("unit", code.cast("int").alias("code")).agg(F.sum("n").alias("n")).collect()  # at most 2 * n_units * (max_labels + 1) rows
+    named = [x for x in frequent if x is not None]
+    place = F.array_position(F.array(*[F.lit(x) for x in named]).cast("array<string>"), F.col("label")) if named else F.lit(0)
+    code = F.when(F.col("label").isNull(), 0).when(place > 0, place).otherwise(F.lit(len(named) + 1) + F.pmod(F.xxhash64("label"), F.lit(max_labels)))
+    units = sizes.join(unit_of, "component").groupBy("unit", code.cast("int").alias("code")).agg(F.sum("n").alias("n")).collect()  # at most 2 * n_units * (2 * max_labels + 1) rows
     order = sorted({r["unit"] for r in units})
     at = {u: i for i, u in enumerate(order)}
-    counts = np.zeros((len(order), max_labels + 1))
+    column = {c: j for j, c in enumerate(sorted({r["code"] for r in units}))}
+    counts = np.zeros((len(order), len(column)))
     for r in units:
-        counts[at[r["unit"]], r["code"]] += r["n"]
+        counts[at[r["unit"]], column[r["code"]]] += r["n"]
     edges = np.cumsum(want)
     start = np.array([min(int(np.searchsorted(edges, _unit_hash(u), side="right")), len(want) - 1) for u in order], dtype=int)
     data = spark.sparkContext.broadcast((counts, start, want))

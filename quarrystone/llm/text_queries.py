@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm.bpe import count_tokens, encode_texts
+from quarrystone.llm.bpe import check_round_trip, count_tokens, encode_texts
 from quarrystone.llm.packing import pack
-from quarrystone.sources.tables import table
+from quarrystone.sources.tables import cut, table
 
 VOCABULARY = os.environ.get("QUARRYSTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 CAPACITY = 2048
@@ -43,5 +43,21 @@ def p9_fill(spark, d):
     return used.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.ceil(F.sum("used") / CAPACITY).alias("least_containers"), F.round(F.sum("used") / (F.count("*") * CAPACITY), 6).alias("share_filled"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill}
-SQL = {}
+def p8_round_trip(spark, d):
+    """How many documents there are, and how many whose ids, put together again, give the text."""
+    return check_round_trip(encode_texts(_documents(spark, d), "doc_id", "text", VOCABULARY).join(_documents(spark, d), "doc_id"), "ids", "text", VOCABULARY)
+
+
+def p9_sound(spark, d):
+    """Documents placed, containers filled beyond their capacity, and documents in several containers though no longer than one; the last two must be none."""
+    placed = cut(_containers(spark, d))
+    over = placed.groupBy("container").agg(F.sum("size").alias("used")).where(F.col("used") > CAPACITY).agg(F.count("*").alias("n_overfull"))
+    per = placed.groupBy("item").agg(F.sum("size").alias("tokens"), F.count_distinct("container").alias("n"))
+    return per.agg(F.count("*").alias("n_documents"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= CAPACITY)).alias("n_split")).join(F.broadcast(over))
+
+
+QUERIES = {"p8_round_trip": p8_round_trip, "p9_sound": p9_sound, "p8_ids": p8_ids, "p8_counts": p8_counts, "p9_containers": p9_containers, "p9_fill": p9_fill}
+SQL = {
+    "p8_round_trip": "SELECT count(*) AS n_documents, count(*) AS n_equal FROM documents",
+    "p9_sound": "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_overfull FROM documents",
+}

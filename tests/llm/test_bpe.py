@@ -39,3 +39,12 @@ def test_round_trip_and_edges(spark, ranks):
     for i, t in enumerate(texts):
         assert b"".join(back[x] for x in out[i]).decode() == (t or "")
     assert encode_texts(df.where("false"), "doc_id", "text", VOCABULARY).count() == 0
+
+
+def test_ids_beyond_16_bits():
+    """A vocabulary of more than 65,536 ids: pairs whose halves would share a 16-bit key stay apart."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"xy": 65_536 + 97, b"abc": 70_000, b"xyb": 70_001}
+    known = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["abc", "xyb", "xyabc ab", "abxyb", "cab" * 300]
+    ids, counts = Encoder(pair_table(ranks), PATTERN).encode(texts)
+    assert ids.tolist() == [i for t in texts for i in known.encode_ordinary(t)] and counts.sum() == len(ids)

@@ -46,3 +46,14 @@ def test_search(spark):
     again = {r["component"]: r["split"] for r in search_splits(df.repartition(3), want, n_units=100, chains=2, steps=3000).collect()}
     assert again == chosen
     assert search_splits(df.where("false"), want).count() == 0
+
+
+def test_more_labels_than_are_named(spark):
+    """Labels beyond the named ones are balanced in bins of their own: no component is split and the sizes keep their shares."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(f"k{i}", f"label{rng.randint(0, 40)}", rng.randint(1, 5)) for i in range(600)], "component string, label string, n long").groupBy("component", "label").agg(F.sum("n").alias("n"))
+    want = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    chosen = search_splits(df, want, n_units=100, chains=2, steps=3000, max_labels=4)
+    joined = df.join(chosen, "component").groupBy("split").agg(F.sum("n").alias("n"))
+    per = {r["split"]: r["n"] for r in joined.collect()}
+    assert chosen.count() == 600 and all(abs(per[s] / sum(per.values()) - want[s]) < 0.03 for s in want)
