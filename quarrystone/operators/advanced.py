@@ -46,8 +46,8 @@ def blup(df: DataFrame, cell: str, item: str, value: str, covariance: DataFrame,
     """
     items, m = _matrix(covariance, most)
     m = nearest_positive(m)
-    means = dict(df.where(F.col(value).isNotNull()).groupBy(item).agg(F.avg(value)).limit(most + 1).collect())
-    mu = np.array([means.get(i, 0.0) for i in items])
+    means = dict(df.where(F.col(value).isNotNull() & F.col(item).isin(*items)).groupBy(item).agg(F.avg(value)).collect())  # the items of the matrix, at most `most`
+    mu = np.array([means[i] for i in items])
     kind = dict(df.dtypes)[cell]
     per = df.where(F.col(value).isNotNull() & F.col(item).isin(*items)).groupBy(cell, item).agg(F.avg(value).alias("v")).groupBy(cell).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(item, "v")))).alias("seen"))
 

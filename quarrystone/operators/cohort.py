@@ -82,3 +82,18 @@ def range_join(points: DataFrame, ranges: DataFrame, key: str, x: str, low: str,
     p = points.withColumn("_bin", F.floor(F.col(x) / width))
     r = ranges.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return p.join(r, [key, "_bin"]).where((F.col(x) >= F.col(low)) & (F.col(x) <= F.col(high))).drop("_bin")
+
+
+def ledger_balance(raw: DataFrame, ledger: DataFrame, key: str, folded: str) -> DataFrame:
+    """One row: raw_rows and ledger_rows, each counted from its own table, n_lost (keys of raw rows without a line in the ledger),
+    n_invented (lines without a raw row), n_wrong (lines whose `folded` is not the number of their raw rows) and balanced.
+
+    A NULL key is a key. Both tables are reduced to one line a key before they meet.
+    """
+    have = raw.groupBy(F.col(key).alias("_a")).agg(F.count("*").alias("_n"))
+    said = ledger.groupBy(F.col(key).alias("_b")).agg(F.sum(folded).alias("_m"))
+    both = have.join(said, F.col("_a").eqNullSafe(F.col("_b")), "full_outer")
+    one = both.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_rows"), F.coalesce(F.sum("_m"), F.lit(0)).alias("ledger_rows"), F.count_if(F.col("_m").isNull()).alias("n_lost"), F.count_if(F.col("_n").isNull()).alias("n_invented"), F.count_if(F.col("_n") != F.col("_m")).alias("n_wrong")
+    )
+    return one.withColumn("balanced", F.expr("n_lost = 0 AND n_invented = 0 AND n_wrong = 0"))

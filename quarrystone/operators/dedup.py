@@ -35,19 +35,31 @@ def ladder(df: DataFrame, levels: list[tuple[str, Column]]) -> DataFrame:
     return per.withColumn("ok", fine.cast("boolean")).where("ok").select("level", "name", "n_groups", "n_rows", "n_redundant")
 
 
-def classify_groups(df: DataFrame, key: Column, row_id: str, value: Column, provenance: Column, essential: list[Column]) -> DataFrame:
-    """Per key: size, class and the smallest id.
+def classify_groups(df: DataFrame, key: Column, row_id: str, value: Column, provenance: list[Column], essential: list[Column], digits: Column, copied_digits: int = 5) -> DataFrame:
+    """(key, n, class, representative): per key the rows, the class and the record with the lowest number in its id.
 
-    UNIQUE: one row; F: an essential field is missing; E: different values; A: same provenance; B: otherwise.
+    F: an essential field is missing; UNIQUE: one row; E: several values; A: one provenance (a combination of its columns, NULL
+    is a value); B: several, but a value written with copied_digits or more; C: several and a coarser value, which may be
+    a repeat. A group holding any share of the rows is aggregated on the map side.
     """
     missing = F.lit(False)
     for e in essential:
         missing = missing | e.isNull()
-    per = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(row_id).alias("representative"), F.count_distinct(value).alias("n_values"), F.count_distinct(provenance).alias("n_sources"), F.max(missing).alias("lacks"))
-    label = F.when(F.col("n") == 1, "UNIQUE").when(F.col("lacks"), "F").when(F.col("n_values") > 1, "E").when(F.col("n_sources") <= 1, "A").otherwise("B")
+    source = F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in provenance])
+    number = F.coalesce(F.regexp_extract(row_id, r"(\d{1,15})\D*$", 1).try_cast("long"), F.lit(2**62))
+    per = df.groupBy(key.alias("key")).agg(
+        F.count("*").alias("n"), F.min(F.struct(number.alias("number"), F.col(row_id).alias("id"))).getField("id").alias("representative"), F.count_distinct(value).alias("n_values"), F.count_distinct(source).alias("n_sources"), F.max(missing).alias("lacks"), F.max(digits).alias("digits"),
+    )
+    label = F.when(F.col("lacks"), "F").when(F.col("n") == 1, "UNIQUE").when(F.col("n_values") > 1, "E").when(F.col("n_sources") <= 1, "A").when(F.col("digits") >= copied_digits, "B").otherwise("C")
     return per.select("key", "n", label.alias("class"), "representative")
 
 
+def canonical_rows(df: DataFrame, key: Column, row_id: str, classes: DataFrame) -> DataFrame:
+    """df with `class`, `representative` and `is_canonical_row`: of groups of class A and B only the representative is, of all others every row."""
+    marked = df.withColumn("_key", key).join(classes.select(F.col("key").alias("_k"), "class", "representative"), F.col("_key").eqNullSafe(F.col("_k")), "left")
+    return marked.withColumn("is_canonical_row", ~F.col("class").isin("A", "B") | (F.col(row_id) == F.col("representative"))).drop("_key", "_k")
+
+
 def one_field_conflicts(df: DataFrame, fields: list[str], value: Column) -> DataFrame:
     """For each field: groups of rows that agree in all other fields, take several values of this one, and still record a single value.
 

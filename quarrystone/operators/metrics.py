@@ -8,10 +8,23 @@ total is asked for.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def beside(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
+    """df with the aggregates of each row's group beside it.
+
+    Groups are aggregated with map-side combination and joined, one line each, so
+    no group's rows meet in one task; NULL keys are a group.
+    """
+    line = df.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(*aggregates)
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    return df.join(line, on, "left").drop(*[f"_by{i}" for i in range(len(by))])
+
+
 def nested_mean(df: DataFrame, value: Column, levels: list[str]) -> DataFrame:
     """The mean of means: within all levels, then over the last level, and so on down to one number, with the number of groups of each step."""
     cur = df.where(value.isNotNull()).groupBy(*levels).agg(F.avg(value).alias("m"))
@@ -44,7 +57,7 @@ def level_and_shape(long: DataFrame, unit: str, by: list[str]) -> DataFrame:
     """Splits each unit's error into its level (the mean residual) and its shape (what is left): per group the unit means of both, and the shares of the squared error."""
     e = F.col("p") - F.col("y")
     per = long.groupBy(*by, unit).agg(F.count("*").alias("n"), F.avg(e).alias("b"), F.sum(e * e).alias("sse"))
-    centred = long.withColumn("s", F.abs(e - F.avg(e).over(Window.partitionBy(*by, unit)))).groupBy(*by, unit).agg(F.avg("s").alias("shape"))
+    centred = beside(long, [*by, unit], F.avg(e).alias("_b")).groupBy(*by, unit).agg(F.avg(F.abs(e - F.col("_b"))).alias("shape"))
     return per.join(centred, [*by, unit]).groupBy(*by).agg(
         F.count("*").alias("n_units"), F.avg(F.abs("b")).alias("level_mae"), F.avg("shape").alias("shape_mae"), (F.sum(F.col("n") * F.col("b") * F.col("b")) / F.sum("sse")).alias("level_share")
     )
@@ -99,13 +112,12 @@ def strata(df: DataFrame, value: Column, cuts: list[float], aggregates: list[Col
 
 def balanced_weights(df: DataFrame, group: str, block: str | None = None, block_shares: dict[str, float] | None = None) -> DataFrame:
     """df with `weight`: every group the same total, the whole table's weights averaging 1; with block_shares, blocks scaled to those relative masses."""
-    n = F.count("*").over(Window.partitionBy(group))
-    raw = df.withColumn("_w", 1.0 / n)
+    raw = beside(df, [group], F.count("*").alias("_n")).withColumn("_w", 1.0 / F.col("_n")).drop("_n")
     if block:
         share = F.lit(None).cast("double")
         for name, s in (block_shares or {}).items():
             share = F.when(F.col(block) == name, F.lit(s)).otherwise(share)
-        raw = raw.withColumn("_w", F.coalesce(share, F.lit(1.0)) * F.col("_w") / F.sum("_w").over(Window.partitionBy(block)))
+        raw = beside(raw, [block], F.sum("_w").alias("_mass")).withColumn("_w", F.coalesce(share, F.lit(1.0)) * F.col("_w") / F.col("_mass")).drop("_mass")
     total = raw.agg((F.sum("_w") / F.count("*")).alias("m"))
     return raw.withColumn("weight", F.col("_w") / total.scalar()).drop("_w")
 
@@ -125,24 +137,26 @@ def effective_sizes(df: DataFrame, cluster: str, value: str) -> DataFrame:
 
 def leave_one_out_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     """df with `loo_mean`: the mean of the other rows of the group, NULL where there is none."""
-    w = Window.partitionBy(group)
-    n, s, x = F.count(value).over(w), F.sum(value).over(w), F.col(value)
-    return df.withColumn("loo_mean", F.when(x.isNull(), s / n).otherwise(F.when(n > 1, (s - x) / (n - 1))))
+    n, s, x = F.col("_n"), F.col("_s"), F.col(value)
+    return beside(df, [group], F.count(value).alias("_n"), F.sum(value).alias("_s")).withColumn("loo_mean", F.when(x.isNull() & (n > 0), s / n).otherwise(F.when(n > 1, (s - x) / (n - 1)))).drop("_n", "_s")
 
 
 def peers_median(df: DataFrame, group: str, entity: str, value: str, limit: float) -> DataFrame:
     """Per (group, entity): its mean, the median of the other entities' means in the group, and whether they differ by at least `limit`.
 
-    The median without one's own value is read off the group's sorted array of entity means by position, so groups are arrays of
-    entities (not rows) and no pairs are formed.
+    The median without one's own value lies at one of three ranks around the middle, so each group is one line with the values
+    there, joined to its ranked entities: no group is an array and no pairs are formed.
     """
     per = df.where(F.col(value).isNotNull()).groupBy(group, entity).agg(F.avg(value).alias("own"))
-    packed = per.groupBy(group).agg(F.array_sort(F.collect_list("own")).alias("v"))
-    joined = per.join(packed, group)
-    rest = F.array_compact(F.concat(F.slice("v", 1, F.array_position("v", F.col("own")).cast("int") - 1), F.slice("v", F.array_position("v", F.col("own")).cast("int") + 1, F.size("v"))))
-    m = F.size("rest")
-    mid = F.when(m % 2 == 1, F.get("rest", F.floor(m / 2).cast("int"))).otherwise((F.get("rest", (m / 2 - 1).cast("int")) + F.get("rest", (m / 2).cast("int"))) / 2)
-    return joined.withColumn("rest", rest).withColumn("peers", F.when(m > 0, mid)).select(group, entity, "own", "peers", F.coalesce(F.abs(F.col("own") - F.col("peers")) >= limit, F.lit(False)).alias("outlying"))
+    ranked = per.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("own", entity)))
+    counted = beside(ranked, [group], F.count("*").alias("_n"))
+    half = F.floor((F.col("_n") - 1) / 2)
+    at = [F.max(F.when(F.col("_r") == F.col("_half") + k, F.col("own"))).alias(f"_v{k}") for k in (0, 1, 2)]
+    joined = beside(counted.withColumn("_half", half), [group], *at)
+    # The p-th of the others is at rank p before one's own place and at p + 1 from there on.
+    other = lambda p: F.when(F.col("_r") > F.col("_half") + p, F.col(f"_v{p}")).otherwise(F.col(f"_v{p + 1}"))
+    mid = F.when((F.col("_n") - 1) % 2 == 1, other(1)).otherwise((other(0) + other(1)) / 2)
+    return joined.withColumn("peers", F.when(F.col("_n") > 1, mid)).select(group, entity, "own", "peers", F.coalesce(F.abs(F.col("own") - F.col("peers")) >= limit, F.lit(False)).alias("outlying"))
 
 
 def quadratic_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -150,8 +164,7 @@ def quadratic_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
     The parabola comes from centred power sums (two passes of sums), solved in closed form.
     """
-    w = Window.partitionBy(*by)
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", F.col(x) - F.avg(x).over(w)).withColumn("_m", F.avg(x).over(w))
+    rows = beside(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, F.avg(x).alias("_m")).withColumn("_x", F.col(x) - F.col("_m"))
     s = lambda e: F.sum(e)
     X, Y = F.col("_x"), F.col(y)
     g = rows.groupBy(*by).agg(
@@ -165,3 +178,18 @@ def quadratic_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     turn = F.when(F.abs("curvature") > 1e-12, F.col("m") - linear / (2 * F.col("curvature")))
     out = g.withColumn("curvature", curve).withColumn("turn", turn)
     return out.select(*by, "n", "distinct_x", "slope", "intercept", "r2", "curvature", F.when((F.col("turn") > F.col("lo")) & (F.col("turn") < F.col("hi")), F.col("turn")).alias("turning_point"))
+
+
+def sampling_clusters(df: DataFrame, cluster: str, value: str) -> DataFrame:
+    """One row: clusters G, the within-cluster correlation rho by one-way analysis of variance, the variation Gamma of the clusters' shares in the variance of a mean, n + n (n - 1) rho, and the effective number G / (1 + Gamma)."""
+    per = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.count("*").cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    one = per.agg(
+        F.sum("n").alias("N"), F.count("*").alias("g"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
+        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), 2) / F.sum("n")).alias("ssb"),
+    )
+    one = one.select("g", (F.col("ssw") / F.greatest(F.col("N") - F.col("g"), F.lit(1))).alias("msw"), (F.col("ssb") / F.greatest(F.col("g") - 1, F.lit(1))).alias("msb"), ((F.col("N") - F.col("n2") / F.col("N")) / F.greatest(F.col("g") - 1, F.lit(1))).alias("n0"))
+    between = F.greatest((F.col("msb") - F.col("msw")) / F.greatest(F.col("n0"), F.lit(1e-9)), F.lit(0.0))
+    rho = one.select((between / F.greatest(between + F.col("msw"), F.lit(1e-12))).alias("rho"))
+    share = F.col("n") + F.col("n") * (F.col("n") - 1) * F.col("rho")
+    out = per.join(F.broadcast(rho)).agg(F.count("*").alias("n_clusters"), F.first("rho").alias("rho"), (F.var_pop(share) / F.pow(F.avg(share), 2)).alias("gamma"))  # rho is one row
+    return out.where("n_clusters > 0").withColumn("effective_clusters", F.col("n_clusters") / (1 + F.col("gamma")))

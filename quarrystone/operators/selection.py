@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.keys import hash_order
+from quarrystone.operators.metrics import beside
 from quarrystone.sources.tables import cut
 
 
@@ -40,6 +41,67 @@ def revealed(df: DataFrame, unit: str, row_id: str, k: int, policy: str, score:
     return keyed.withColumn("revealed", F.row_number().over(w.orderBy(by, row_id)) <= k).drop("_o")
 
 
+def acquire(df: DataFrame, unit: str, row_id: str, k: int, policy: str, axes: list[str], prediction: str, spread: str) -> DataFrame:
+    """(unit, row_id, place): the k rows of each unit that a policy reveals first. No policy reads the target.
+
+    On the axes, standardised within the unit (rows lacking one take no part): CENTRAL nearest and FARTHEST farthest
+    from the unit's centre, MEDOID with the least summed L1 distance to all rows, MID with the last axis nearest its median.
+    On the model's output: MEDIAN_PREDICTION nearest the unit's median prediction, MAX_SPREAD and MIN_SPREAD by the spread of
+    an ensemble or the disagreement of models. Ties go to smaller ids. Units are reduced to one line of moments each;
+    only the final choice orders rows, limited to k before the shuffle.
+    """
+    x = df
+    if policy in ("CENTRAL", "FARTHEST", "MEDOID", "MID"):
+        for a in axes:
+            x = x.where(F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")))
+        x = beside(x, [unit], *[F.avg(a).alias(f"_m{i}") for i, a in enumerate(axes)], *[F.stddev_pop(a).alias(f"_s{i}") for i, a in enumerate(axes)])
+        sd = [F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) for i in range(len(axes))]
+    if policy in ("CENTRAL", "FARTHEST"):
+        far = F.round(_total([F.pow((F.col(a) - F.col(f"_m{i}")) / sd[i], 2) for i, a in enumerate(axes)]), 9)
+        order = far if policy == "CENTRAL" else -far
+    elif policy == "MEDOID":
+        # The summed distance along an axis comes from running sums over its different values, so no pairs are formed.
+        cost = F.lit(0.0)
+        for i, a in enumerate(axes):
+            w = Window.partitionBy("_u").orderBy("_v")
+            values = x.groupBy(F.col(unit).alias("_u"), F.col(a).alias("_v")).agg(F.count("*").alias("_n")).select("_u", "_v", F.sum("_n").over(w).alias("_cn"), F.sum(F.col("_n") * F.col("_v")).over(w).alias("_cs"))
+            values = beside(values, ["_u"], F.max("_cn").alias("_tn"), F.max(F.struct("_cn", "_cs")).getField("_cs").alias("_ts"))
+            summed = F.col("_v") * F.col("_cn") - F.col("_cs") + (F.col("_ts") - F.col("_cs")) - F.col("_v") * (F.col("_tn") - F.col("_cn"))
+            x = x.join(values.select("_u", "_v", summed.alias(f"_c{i}")), F.col(unit).eqNullSafe(F.col("_u")) & (F.col(a) == F.col("_v"))).drop("_u", "_v")
+            cost = cost + F.col(f"_c{i}") / sd[i]
+        order = F.round(cost, 6)
+    elif policy in ("MID", "MEDIAN_PREDICTION"):
+        of = axes[-1] if policy == "MID" else prediction
+        x = beside(x.where(F.col(of).isNotNull()), [unit], F.median(of).alias("_mid"))
+        order = F.round(F.abs(F.col(of) - F.col("_mid")), 9)
+    elif policy in ("MAX_SPREAD", "MIN_SPREAD"):
+        order = F.round(F.col(spread), 9) * (-1 if policy == "MAX_SPREAD" else 1)
+        x = x.where(F.col(spread).isNotNull())
+    else:
+        raise ValueError(f"no policy {policy}")
+    place = F.row_number().over(Window.partitionBy(unit).orderBy("_o", row_id))
+    return x.withColumn("_o", order).withColumn("place", place).where(F.col("place") <= k).select(unit, row_id, "place")
+
+
+def ridge_corrections(support: DataFrame, unit: str, residual: str, columns: list[str], penalty: float) -> DataFrame:
+    """(unit, b0, b1, ...): ridge coefficients of a unit's residuals on an unpenalised intercept and up to two columns, from grouped sums, solved in closed form."""
+    names = ["1", *columns]
+    col = lambda c: F.lit(1.0) if c == "1" else F.col(c).cast("double")
+    n = len(names)
+    sums = [F.sum(col(a) * col(b)).alias(f"_g{i}{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    g = support.where(F.col(residual).isNotNull()).groupBy(unit).agg(*sums, *[F.sum(col(a) * F.col(residual)).alias(f"_r{i}") for i, a in enumerate(names)])
+    m = [[F.col(f"_g{min(i, j)}{max(i, j)}") + (penalty if i == j and i else 0.0) for j in range(n)] for i in range(n)]
+    r = [F.col(f"_r{i}") for i in range(n)]
+
+    def det(a):
+        if len(a) == 1:
+            return a[0][0]
+        return reduce(lambda p, q: p + q, [(1 if j % 2 == 0 else -1) * a[0][j] * det([row[:j] + row[j + 1 :] for row in a[1:]]) for j in range(len(a))])
+
+    whole = det(m)
+    return g.select(unit, *[(det([[r[i] if j == k else m[i][j] for j in range(n)] for i in range(n)]) / whole).alias(f"b{k}") for k in range(n)])
+
+
 CHUNK = 100_000
 
 

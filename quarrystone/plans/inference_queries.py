@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.clean import doi_list, in_range, label_key, number_or_null
+from quarrystone.functions.keys import hash_order
 from quarrystone.operators import cohort as C
 from quarrystone.operators import resample as B
 from quarrystone.operators import selection as Q
@@ -120,25 +121,70 @@ def _units(spark, d):
     return t.select("row_id", "extractant", "metal_symbol", "metal_z", label_key(F.col("chemotype")).alias("chemotype"), number_or_null(F.col("log_D")).alias("y"), in_range(F.col("cond__acid_concentration_M"), 0.0, 50.0).alias("acid")).where("y IS NOT NULL")
 
 
+def _predicted(spark, d):
+    """Units with two predictions that no row of the unit itself enters: the mean of the metal, and that of chemotype and metal, over all other ligands; and their disagreement."""
+    u = _units(spark, d)
+    own = u.groupBy("extractant", "metal_symbol", "chemotype").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    metal = own.groupBy("metal_symbol").agg(F.sum("n").alias("mn"), F.sum("s").alias("ms"))
+    family = own.groupBy(F.col("metal_symbol").alias("fm"), F.col("chemotype").alias("fc")).agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
+    mine = own.groupBy("extractant", "metal_symbol").agg(F.sum("n").alias("un"), F.sum("s").alias("us"))
+    less = lambda total, part, n, m: F.when(n > m, (total - part) / (n - m))
+    c = own.join(mine, ["extractant", "metal_symbol"]).join(metal, "metal_symbol").join(family, (F.col("metal_symbol") == F.col("fm")) & F.col("chemotype").eqNullSafe(F.col("fc")))
+    first, second = less(F.col("ms"), F.col("us"), F.col("mn"), F.col("un")), less(F.col("fs"), F.col("s"), F.col("fn"), F.col("n"))
+    p = c.select(F.col("extractant").alias("pe"), F.col("metal_symbol").alias("pm"), F.col("chemotype").alias("pc"), F.coalesce(first, F.lit(0.0)).alias("prediction"), F.abs(F.coalesce(first, F.lit(0.0)) - F.coalesce(second, first, F.lit(0.0))).alias("spread"))
+    return u.join(p, (F.col("extractant") == F.col("pe")) & (F.col("metal_symbol") == F.col("pm")) & F.col("chemotype").eqNullSafe(F.col("pc"))).drop("pe", "pm", "pc")
+
+
 def fewshot_offset(spark, d):
-    """Three hash-drawn rows of every ligand reveal its offset; the error of its other rows before and after."""
-    u = Q.revealed(_units(spark, d), "extractant", "row_id", 3, "RANDOM", "y", 9)
-    off = Q.shrunk_offsets(u.where("revealed"), "extractant", "y", 2.0)
+    """Three hash-drawn rows of every ligand reveal its offset from the prediction by other ligands; the error of its other rows before and after."""
+    u = Q.revealed(_predicted(spark, d), "extractant", "row_id", 3, "RANDOM", "prediction", 9).withColumn("e", F.col("y") - F.col("prediction"))
+    off = Q.shrunk_offsets(u.where("revealed"), "extractant", "e", 2.0)
     rest = u.where("NOT revealed").join(off, "extractant")
-    return rounded(rest.groupBy("extractant").agg(F.count("*").alias("n_query"), F.avg(F.abs("y")).alias("mae_before"), F.avg(F.abs(F.col("y") - F.col("offset"))).alias("mae_after")), 6)
+    return rounded(rest.groupBy("extractant").agg(F.count("*").alias("n_query"), F.avg(F.abs("e")).alias("mae_before"), F.avg(F.abs(F.col("e") - F.col("offset"))).alias("mae_after")), 6)
+
+
+def fewshot_grid(spark, d):
+    """Adapters and numbers of revealed rows: the error of the rows not revealed after an offset (K1), and ridge corrections on the metal's charge (K2) and on charge and acid (K3)."""
+    u = _predicted(spark, d).where("acid IS NOT NULL").withColumn("e", F.col("y") - F.col("prediction")).withColumn("x1", (F.col("metal_z") - 64) / 4).withColumn("x2", F.log10(F.greatest("acid", F.lit(1e-3))))
+    order = hash_order(F.lit(9), F.col("row_id"))
+    u = u.withColumn("r", F.row_number().over(Window.partitionBy("extractant").orderBy(order, "row_id"))).withColumn("k", F.explode(F.array(F.lit(2), F.lit(5)))).withColumn("at", F.concat_ws("|", "extractant", "k"))
+    parts = []
+    for name, columns in (("K1", []), ("K2", ["x1"]), ("K3", ["x1", "x2"])):
+        b = Q.ridge_corrections(u.where("r <= k"), "at", "e", columns, 1.0)
+        move = F.col("b0")
+        for i, c in enumerate(columns, 1):
+            move = move + F.col(f"b{i}") * F.col(c)
+        parts.append(u.where("r > k").join(b, "at").groupBy("k").agg(F.lit(name).alias("adapter"), F.count("*").alias("n_query"), F.avg(F.abs(F.col("e") - move)).alias("mae")))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 6)
+
+
+AXES = ["metal_z", "acid"]
+
+
+def _acquired(spark, d, policy, k=1):
+    return Q.acquire(_predicted(spark, d), "extractant", "row_id", k, policy, AXES, "prediction", "spread").select("extractant", "row_id")
 
 
 def acquisition_central(spark, d):
-    return Q.revealed(_units(spark, d), "extractant", "row_id", 1, "CENTRAL", "y").where("revealed").select("extractant", "row_id")
+    return _acquired(spark, d, "CENTRAL")
+
+
+def acquisition_farthest(spark, d):
+    return _acquired(spark, d, "FARTHEST")
 
 
 def acquisition_medoid(spark, d):
-    return Q.revealed(_units(spark, d), "extractant", "row_id", 2, "MEDIAN_PREDICTION", "y").where("revealed").select("extractant", "row_id")
+    return _acquired(spark, d, "MEDOID", 2)
+
+
+def acquisition_middle(spark, d):
+    """The rows at the median acid and at the median prediction."""
+    return _acquired(spark, d, "MID").withColumn("policy", F.lit("acid")).unionByName(_acquired(spark, d, "MEDIAN_PREDICTION").withColumn("policy", F.lit("prediction")))
 
 
 def acquisition_extremes(spark, d):
-    u = _units(spark, d)
-    return Q.revealed(u, "extractant", "row_id", 1, "MAX_SD", "y").where("revealed").select("extractant", "row_id", F.lit("max").alias("policy")).unionByName(Q.revealed(u, "extractant", "row_id", 1, "MIN_SD", "y").where("revealed").select("extractant", "row_id", F.lit("min").alias("policy")))
+    """The rows on which the two predictions disagree most and least."""
+    return _acquired(spark, d, "MAX_SPREAD").withColumn("policy", F.lit("max")).unionByName(_acquired(spark, d, "MIN_SPREAD").withColumn("policy", F.lit("min")))
 
 
 def maxmin_order(spark, d):
@@ -230,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cluster_bootstrap_ci, bootstrap_by_unit, jackknife_influence, bca_interval, cluster_robust_se, wild_cluster_p, bayes_bootstrap, permutation_null, bh_adjust, noise_floor, seed_sign_agreement, nearest_neighbour_tanimoto,
-        cosine_topk, neighbour_labels, similarity_clusters, source_components, fewshot_offset, acquisition_central, acquisition_medoid, acquisition_extremes, maxmin_order, d_optimal_order, baseline_chain, applicability_domain,
+        cosine_topk, neighbour_labels, similarity_clusters, source_components, fewshot_offset, fewshot_grid, acquisition_central, acquisition_farthest, acquisition_medoid, acquisition_middle, acquisition_extremes, maxmin_order, d_optimal_order, baseline_chain, applicability_domain,
         support_scores, monte_carlo_ops, row_accounting, missingness_tables, arm_alignment, paired_to_baseline, grouped_linear_models, forest_contender,
     )
 }
@@ -259,6 +305,18 @@ round(least(1.0, 2 * least(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), avg(C
 
 
 _UNITS = f"WITH u AS (SELECT row_id, extractant, metal_symbol, metal_z, {_CHEM} AS chemotype, log_D AS y, {_clip('cond__acid_concentration_M', 0, 50)} AS acid FROM dataset WHERE log_D IS NOT NULL AND NOT isnan(log_D))\n"
+_PREDICTED = _UNITS + """, o AS (SELECT extractant, metal_symbol, chemotype, count(*) AS n, sum(y) AS s FROM u GROUP BY ALL), m AS (SELECT metal_symbol, sum(n) AS n, sum(s) AS s FROM o GROUP BY 1), f AS (SELECT metal_symbol, chemotype, sum(n) AS n, sum(s) AS s FROM o GROUP BY ALL), w AS (SELECT extractant, metal_symbol, sum(n) AS n, sum(s) AS s FROM o GROUP BY ALL),
+g AS (SELECT o.extractant, o.metal_symbol, o.chemotype, CASE WHEN m.n > w.n THEN (m.s - w.s) / (m.n - w.n) END AS p1, CASE WHEN f.n > o.n THEN (f.s - o.s) / (f.n - o.n) END AS p2 FROM o JOIN w USING (extractant, metal_symbol) JOIN m USING (metal_symbol) JOIN f ON f.metal_symbol = o.metal_symbol AND f.chemotype IS NOT DISTINCT FROM o.chemotype),
+p AS (SELECT u.*, coalesce(p1, 0.0) AS prediction, abs(coalesce(p1, 0.0) - coalesce(p2, p1, 0.0)) AS spread FROM u JOIN g ON g.extractant = u.extractant AND g.metal_symbol = u.metal_symbol AND g.chemotype IS NOT DISTINCT FROM u.chemotype),
+z0 AS (SELECT *, avg(metal_z) OVER v AS m0, avg(acid) OVER v AS m1, CASE WHEN stddev_pop(metal_z) OVER v > 0 THEN stddev_pop(metal_z) OVER v ELSE 1.0 END AS s0, CASE WHEN stddev_pop(acid) OVER v > 0 THEN stddev_pop(acid) OVER v ELSE 1.0 END AS s1, median(acid) OVER v AS mid FROM p WHERE acid IS NOT NULL AND metal_z IS NOT NULL WINDOW v AS (PARTITION BY extractant)),
+z AS (SELECT *, pow((metal_z - m0) / s0, 2) + pow((acid - m1) / s1, 2) AS zz FROM z0)
+"""
+
+
+def _first(order, k, end=True):
+    return f"SELECT extractant, row_id FROM (SELECT extractant, row_id, row_number() OVER (PARTITION BY extractant ORDER BY o, row_id) AS k FROM (SELECT extractant, row_id, {order} AS o FROM z a)) WHERE k <= {k}"
+
+
 _FP = "fp AS (SELECT structure_id AS i, extractant, CAST(fingerprint AS DOUBLE[]) AS f, list_sum(fingerprint) AS ones FROM ligand_fingerprint WHERE len(fingerprint) = 256 AND len(list_filter(fingerprint, lambda x: x IS NULL OR isnan(x))) = 0 AND list_sum(fingerprint) > 0)"
 _COS = "e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), c AS (SELECT a.i AS query, b.i AS other, b.label, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.i <> b.i WHERE a.i % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, other) AS place FROM c)"
 _T = "sum(w) / sqrt(sum(w * w) - 2 * sum(w) / (SELECT sum(n) FROM g) * sum(w * n) + pow(sum(w) / (SELECT sum(n) FROM g), 2) * sum(n * n))"
@@ -281,11 +339,20 @@ round(sqrt((sum(s2) - sum(s) * sum(s) / any_value(nn)) / (any_value(nn) - 1) / a
 r AS (SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a) SELECT node AS structure_id, min(seen) AS cluster FROM r GROUP BY node""",
     "source_components": f"""WITH RECURSIVE e0 AS (SELECT DISTINCT 'e:' || extractant AS a, 'p:' || p AS b FROM (SELECT extractant, unnest({_DOIS}) AS p FROM dataset)), e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
 r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS n_nodes, count(*) FILTER (WHERE node LIKE 'p:%') AS n_publications FROM c GROUP BY 1""",
-    "fewshot_offset": _UNITS + """, k AS (SELECT *, row_number() OVER (PARTITION BY extractant ORDER BY md5('9:' || row_id), row_id) <= 3 AS revealed FROM u), o AS (SELECT extractant, avg(y) * count(*) / (count(*) + 2.0) AS o FROM k WHERE revealed GROUP BY 1)
-SELECT extractant, count(*) AS n_query, round(avg(abs(y)), 6) AS mae_before, round(avg(abs(y - o)), 6) AS mae_after FROM k JOIN o USING (extractant) WHERE NOT revealed GROUP BY 1""",
-    "acquisition_central": _UNITS + "SELECT extractant, row_id FROM (SELECT *, row_number() OVER (PARTITION BY extractant ORDER BY g, row_id) AS k FROM (SELECT *, round(abs(y - avg(y) OVER (PARTITION BY extractant)), 9) AS g FROM u)) WHERE k = 1",
-    "acquisition_medoid": _UNITS + "SELECT extractant, row_id FROM (SELECT *, row_number() OVER (PARTITION BY extractant ORDER BY g, row_id) AS k FROM (SELECT *, round(abs(y - quantile_cont(y, 0.5) OVER (PARTITION BY extractant)), 9) AS g FROM u)) WHERE k <= 2",
-    "acquisition_extremes": _UNITS + "SELECT extractant, row_id, policy FROM (SELECT extractant, row_id, 'max' AS policy, row_number() OVER (PARTITION BY extractant ORDER BY y DESC, row_id) AS k FROM u UNION ALL SELECT extractant, row_id, 'min', row_number() OVER (PARTITION BY extractant ORDER BY y, row_id) FROM u) WHERE k = 1",
+    "fewshot_offset": _PREDICTED + """, k AS (SELECT *, y - prediction AS e, row_number() OVER (PARTITION BY extractant ORDER BY md5('9:' || row_id), row_id) <= 3 AS revealed FROM p), f3 AS (SELECT extractant, avg(e) * count(*) / (count(*) + 2.0) AS o FROM k WHERE revealed GROUP BY 1)
+SELECT extractant, count(*) AS n_query, round(avg(abs(e)), 6) AS mae_before, round(avg(abs(e - o)), 6) AS mae_after FROM k JOIN f3 USING (extractant) WHERE NOT revealed GROUP BY 1""",
+    "fewshot_grid": _PREDICTED
+    + """, q AS (SELECT extractant, k, y - prediction AS e, (metal_z - 64) / 4 AS x1, log10(greatest(acid, 1e-3)) AS x2, row_number() OVER (PARTITION BY extractant, k ORDER BY md5('9:' || row_id), row_id) AS r FROM p, (SELECT unnest([2, 5])::INT AS k) WHERE acid IS NOT NULL),
+g3 AS (SELECT extractant, k, CAST(count(*) AS DOUBLE) AS n, sum(x1) AS a, sum(x2) AS b, sum(x1 * x1) + 1 AS aa, sum(x2 * x2) + 1 AS bb, sum(x1 * x2) AS ab, sum(e) AS s, sum(e * x1) AS sa, sum(e * x2) AS sb FROM q WHERE r <= k GROUP BY ALL),
+c3 AS (SELECT *, s / n AS k1, (s * aa - a * sa) / (n * aa - a * a) AS k20, (n * sa - a * s) / (n * aa - a * a) AS k21, n * (aa * bb - ab * ab) - a * (a * bb - ab * b) + b * (a * ab - aa * b) AS d FROM g3),
+w3 AS (SELECT *, (s * (aa * bb - ab * ab) - a * (sa * bb - ab * sb) + b * (sa * ab - aa * sb)) / d AS k30, (n * (sa * bb - ab * sb) - s * (a * bb - ab * b) + b * (a * sb - sa * b)) / d AS k31, (n * (aa * sb - sa * ab) - a * (a * sb - sa * b) + s * (a * ab - aa * b)) / d AS k32 FROM c3),
+z3 AS (SELECT q.k, e, x1, x2, k1, k20, k21, k30, k31, k32 FROM q JOIN w3 ON q.extractant = w3.extractant AND q.k = w3.k WHERE r > q.k)
+SELECT k, 'K1' AS adapter, count(*) AS n_query, round(avg(abs(e - k1)), 6) AS mae FROM z3 GROUP BY k UNION ALL SELECT k, 'K2', count(*), round(avg(abs(e - k20 - k21 * x1)), 6) FROM z3 GROUP BY k UNION ALL SELECT k, 'K3', count(*), round(avg(abs(e - k30 - k31 * x1 - k32 * x2)), 6) FROM z3 GROUP BY k""",
+    "acquisition_central": _PREDICTED + _first("round(zz, 9)", 1),
+    "acquisition_farthest": _PREDICTED + _first("-round(zz, 9)", 1),
+    "acquisition_medoid": _PREDICTED + _first("round((SELECT sum(abs(a.metal_z - b.metal_z) / a.s0 + abs(a.acid - b.acid) / a.s1) FROM z b WHERE b.extractant = a.extractant), 6)", 2),
+    "acquisition_middle": _PREDICTED + "SELECT *, 'acid' AS policy FROM (" + _first("round(abs(acid - mid), 9)", 1, False) + ") UNION ALL SELECT extractant, row_id, 'prediction' FROM (SELECT extractant, row_id, row_number() OVER (PARTITION BY extractant ORDER BY round(abs(prediction - m), 9), row_id) AS k FROM (SELECT *, median(prediction) OVER (PARTITION BY extractant) AS m FROM p)) WHERE k = 1",
+    "acquisition_extremes": _PREDICTED + "SELECT extractant, row_id, policy FROM (SELECT extractant, row_id, 'max' AS policy, row_number() OVER (PARTITION BY extractant ORDER BY -round(spread, 9), row_id) AS k FROM p UNION ALL SELECT extractant, row_id, 'min', row_number() OVER (PARTITION BY extractant ORDER BY round(spread, 9), row_id) FROM p) WHERE k = 1",
     "applicability_domain": """WITH r AS (SELECT DISTINCT record_id, CASE WHEN NOT isnan(acid_nominal_M) THEN acid_nominal_M END AS a, CASE WHEN NOT isnan(ligand_M) THEN ligand_M END AS l, CASE WHEN NOT isnan(temperature_C) THEN temperature_C END AS t FROM corpus_records),
 b AS (SELECT min(a) AS a0, max(a) AS a1, min(l) AS l0, max(l) AS l1, min(t) AS t0, max(t) AS t1 FROM r WHERE a <= 4 AND l <= 0.2 AND t >= 20),
 g AS (SELECT record_id, """ + ", ".join(f"CASE WHEN {c} IS NULL THEN 0.0 ELSE greatest({c}0 - {c}, {c} - {c}1, 0.0) / greatest({c}1 - {c}0, 1e-12) END AS g{c}" for c in "alt") + " FROM r, b) SELECT record_id, CAST((ga > 0)::INT + (gl > 0)::INT + (gt > 0)::INT AS INT) AS n_outside, round(ga + gl + gt, 6) AS distance FROM g",

@@ -119,6 +119,10 @@ def effective_sizes(spark, d):
     return rounded(M.effective_sizes(panel(spark, d), "unit", "y"))
 
 
+def sampling_clusters(spark, d):
+    return rounded(M.sampling_clusters(panel(spark, d), "block", "y"), 6)
+
+
 def loo_group_mean(spark, d):
     x = M.leave_one_out_mean(panel(spark, d), "unit", "y")
     return rounded(x.groupBy("block").agg(F.avg("loo_mean").alias("loo_mean"), F.max(F.abs(F.col("loo_mean") - F.col("y"))).alias("largest_gap"), F.count("loo_mean").alias("n")))
@@ -175,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         macro_mae_units, macro_three_level, macro_block_nested, arm_leaderboard, guarded_r2_by_unit, level_shape_decomposition, unit_rank_correlation, unit_kendall, band_summary, strata_summary, direction_accuracy, worst_quartile,
-        quantile_table, group_balanced_weights, equal_unit_mean, effective_sizes, loo_group_mean, leave_self_out_median, quadratic_fits, grid_probabilities, crosstab_matrix, size_buckets, coverage_table, rollup_revenue, cube_counts,
+        quantile_table, group_balanced_weights, equal_unit_mean, effective_sizes, sampling_clusters, loo_group_mean, leave_self_out_median, quadratic_fits, grid_probabilities, crosstab_matrix, size_buckets, coverage_table, rollup_revenue, cube_counts,
         approximate_uniques, variance_components,
     )
 }
@@ -221,6 +225,11 @@ SELECT block, round(sum(v / m), 4) AS mass, round(min(v / m), 4) AS least, round
 o AS (SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS g, CAST(sum(n * n) AS DOUBLE) AS n2, sum(n * v) AS w, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b FROM u),
 k AS (SELECT *, b / (g - 1) AS msb, w / (n - g) AS msw, (n - n2 / n) / (g - 1) AS n0 FROM o), i AS (SELECT *, greatest(0.0, (msb - msw) / (msb + (n0 - 1) * msw)) AS icc FROM k)
 SELECT CAST(n AS BIGINT) AS n_rows, g AS n_clusters, round(n * n / n2, 4) AS kish, round(icc, 4) AS icc, round(n / (1 + (n0 - 1) * icc), 4) AS effective_rows FROM i""",
+    "sampling_clusters": _PANEL
+    + """, u AS (SELECT block, CAST(count(*) AS DOUBLE) AS n, avg(y) AS m, var_pop(y) AS v FROM panel GROUP BY block),
+o AS (SELECT sum(n) AS nn, count(*) AS g, sum(n * n) AS n2, sum(n * v) AS ssw, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS ssb FROM u), k AS (SELECT ssw / (nn - g) AS msw, ssb / (g - 1) AS msb, (nn - n2 / nn) / (g - 1) AS n0 FROM o),
+r AS (SELECT greatest((msb - msw) / n0, 0.0) / (greatest((msb - msw) / n0, 0.0) + msw) AS rho FROM k), w AS (SELECT rho, n + n * (n - 1) * rho AS w FROM u, r)
+SELECT count(*) AS n_clusters, round(any_value(rho), 6) AS rho, round(var_pop(w) / pow(avg(w), 2), 6) AS gamma, round(count(*) / (1 + var_pop(w) / pow(avg(w), 2)), 6) AS effective_clusters FROM w""",
     "loo_group_mean": _PANEL + "SELECT block, round(avg(l), 4) AS loo_mean, round(max(abs(l - y)), 4) AS largest_gap, count(l) AS n FROM (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (sum(y) OVER w - y) / (count(*) OVER w - 1) END AS l FROM panel WINDOW w AS (PARTITION BY unit)) GROUP BY block",
     "leave_self_out_median": _PANEL
     + """, e AS (SELECT block, unit, avg(y) AS own FROM panel GROUP BY ALL)

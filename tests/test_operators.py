@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def test_ladder_is_monotone_or_fails(spark):
 
 def test_duplicate_classes(spark):
     df = spark.createDataFrame([("1", "k", 1.0, "p"), ("2", "k", 1.0, "p"), ("3", "m", 1.0, "p"), ("4", "m", 2.0, "p"), ("5", "n", 1.0, "p"), ("6", "n", 1.0, "q"), ("7", "o", None, "p"), ("8", "o", 1.0, "p"), ("9", "u", 1.0, "p")], "i string, k string, v double, s string")
-    got = {r["key"]: r["class"] for r in D.classify_groups(df, F.col("k"), "i", F.col("v"), F.col("s"), [F.col("v")]).collect()}
+    got = {r["key"]: r["class"] for r in D.classify_groups(df, F.col("k"), "i", F.col("v"), [F.col("s")], [F.col("v")], F.lit(5)).collect()}
     assert got == {"k": "A", "m": "E", "n": "B", "o": "F", "u": "UNIQUE"}
 
 
@@ -249,3 +250,54 @@ def test_draws_are_reproducible(spark):
     a = Q.normal_draws(spark, 50, {"x": (0.0, 1.0, -1.0, 1.0), "y": (5.0, 2.0, 0.0, 9.0)}, 0.5, 3).collect()
     b = Q.normal_draws(spark, 50, {"x": (0.0, 1.0, -1.0, 1.0), "y": (5.0, 2.0, 0.0, 9.0)}, 0.5, 3).repartition(3).orderBy("draw").collect()
     assert sorted(a) == sorted(b) and all(-1 <= r["x"] <= 1 for r in a)
+
+
+def test_policies_read_no_target(spark):
+    """Permuting the target moves no choice; medoids and centres against brute force; NULL axes, ties, empty tables."""
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), f"r{i:02}", float(rng.randint(1, 5)), rng.choice([None, 0.5, 1.0, 4.0]), rng.random(), rng.random(), rng.random()) for i in range(60)]
+    schema = "u string, i string, x double, z double, p double, s double, y double"
+    df, moved = spark.createDataFrame(rows, schema), spark.createDataFrame([(*r[:6], -r[6]) for r in rows], schema)
+    pick = lambda d, policy, k: {(r["u"], r["i"]) for r in Q.acquire(d, "u", "i", k, policy, ["x", "z"], "p", "s").collect()}
+    for policy in ("CENTRAL", "FARTHEST", "MEDOID", "MID", "MEDIAN_PREDICTION", "MAX_SPREAD", "MIN_SPREAD"):
+        assert pick(df, policy, 2) == pick(moved.repartition(3), policy, 2) and len(pick(df, policy, 2)) == 4, policy
+        assert pick(df.where("false"), policy, 2) == set()
+    for u in "ab":
+        mine = [r for r in rows if r[0] == u and r[3] is not None]
+        sd = [max(np.std([r[c] for r in mine]), 1e-12) for c in (2, 3)]
+        cost = {r[1]: round(sum(abs(r[2] - o[2]) / sd[0] + abs(r[3] - o[3]) / sd[1] for o in mine), 6) for r in mine}
+        assert (u, min(cost, key=lambda i: (cost[i], i))) in pick(df, "MEDOID", 1)
+
+
+def test_ridge_corrections_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x, e = rng.normal(size=(6, 2)), rng.normal(size=6)
+    df = spark.createDataFrame([("u", float(a), float(b), float(r)) for (a, b), r in zip(x, e)] + [("v", 1.0, 2.0, 0.5), ("w", 1.0, 1.0, None)], "u string, a double, b double, e double")
+    got = {r["u"]: r for r in Q.ridge_corrections(df, "u", "e", ["a", "b"], 1.0).collect()}
+    design = np.column_stack([np.ones(6), x])
+    want = np.linalg.solve(design.T @ design + np.diag([0.0, 1.0, 1.0]), design.T @ e)
+    assert np.allclose([got["u"][f"b{k}"] for k in range(3)], want) and set(got) == {"u", "v"}
+    assert math.isclose(got["v"]["b0"], 0.5) and math.isclose(got["v"]["b1"], 0.0, abs_tol=1e-9)
+
+
+def test_ledgers_tell_lost_invented_and_wrong_lines(spark):
+    raw = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    ledger = lambda rows: C.ledger_balance(raw, spark.createDataFrame(rows, "k string, n long"), "k", "n").first()
+    assert ledger([("a", 2), ("b", 1), (None, 1)])["balanced"]
+    row = ledger([("a", 3), ("c", 1), (None, 1)])
+    assert (row["n_lost"], row["n_invented"], row["n_wrong"], row["balanced"], row["raw_rows"], row["ledger_rows"]) == (1, 1, 1, False, 4, 5)
+
+
+def test_classes_and_canonical_rows(spark):
+    rows = [("A", "r10", 1.0, "s"), ("A", "r9", 1.0, "s"), ("B", "r1", 1.0, "s"), ("B", "r2", 1.0, None), ("E", "r3", 1.0, "s"), ("E", "r4", 2.0, "s"), ("F", "r5", None, "s"), ("U", "r6", 1.0, "s")]
+    df = spark.createDataFrame(rows, "k string, i string, v double, s string")
+    for digits, other in ((5, "B"), (4, "C")):
+        c = D.classify_groups(df, F.col("k"), "i", F.col("v"), [F.col("s")], [F.col("v")], F.lit(digits))
+        assert {r["key"]: r["class"] for r in c.collect()} == {"A": "A", "B": other, "E": "E", "F": "F", "U": "UNIQUE"}
+        kept = {r["i"] for r in D.canonical_rows(df, F.col("k"), "i", c).where("is_canonical_row").collect()}
+        assert kept == {"r9", "r1", "r3", "r4", "r5", "r6"} | ({"r2"} if other == "C" else set())
+
+
+def test_group_lines_beside_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "g string, x double")
+    assert sorted((r["g"] or "", r["x"], r["m"]) for r in M.beside(df, ["g"], F.avg("x").alias("m")).collect()) == [("", 5.0, 6.0), ("", 7.0, 6.0), ("a", 1.0, 2.0), ("a", 3.0, 2.0)]
