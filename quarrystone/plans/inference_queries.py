@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.clean import doi_list, in_range, label_key, number_or_null
-from quarrystone.functions.keys import hash_order
+from quarrystone.functions.keys import draw, hash_order
 from quarrystone.operators import cohort as C
 from quarrystone.operators import resample as B
 from quarrystone.operators import selection as Q
@@ -197,7 +197,8 @@ def d_optimal_order(spark, d):
 
 def baseline_chain(spark, d):
     u = _units(spark, d)
-    train, test = u.where(F.crc32("row_id") % 5 != 0), u.where(F.crc32("row_id") % 5 == 0)
+    held = draw(F.lit(5), F.col("row_id")) < 0.2
+    train, test = u.where(~held), u.where(held)
     p = Q.baseline_chain(train, test, [["extractant", "metal_symbol"], ["extractant"], ["chemotype"], ["metal_symbol"]], "y")
     return rounded(p.groupBy("level").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("prediction"))).alias("mae")), 6)
 
@@ -253,7 +254,7 @@ def paired_to_baseline(spark, d):
 def grouped_linear_models(spark, d):
     """A least squares line of log D on the metal's charge number per ligand, fitted on four fifths and scored on the rest."""
     u = _units(spark, d)
-    test = F.crc32("row_id") % 5 == 0
+    test = draw(F.lit(5), F.col("row_id")) < 0.2
     fit = u.where(~test).groupBy("extractant").agg(F.regr_slope("y", "metal_z").alias("a"), F.regr_intercept("y", "metal_z").alias("b"), F.avg("y").alias("m"))
     p = u.where(test).join(fit, "extractant").withColumn("p", F.coalesce(F.col("a") * F.col("metal_z") + F.col("b"), F.col("m")))
     return rounded(p.groupBy("metal_symbol").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae")), 6)
@@ -353,6 +354,14 @@ SELECT k, 'K1' AS adapter, count(*) AS n_query, round(avg(abs(e - k1)), 6) AS ma
     "acquisition_medoid": _PREDICTED + _first("round((SELECT sum(abs(a.metal_z - b.metal_z) / a.s0 + abs(a.acid - b.acid) / a.s1) FROM z b WHERE b.extractant = a.extractant), 6)", 2),
     "acquisition_middle": _PREDICTED + "SELECT *, 'acid' AS policy FROM (" + _first("round(abs(acid - mid), 9)", 1, False) + ") UNION ALL SELECT extractant, row_id, 'prediction' FROM (SELECT extractant, row_id, row_number() OVER (PARTITION BY extractant ORDER BY round(abs(prediction - m), 9), row_id) AS k FROM (SELECT *, median(prediction) OVER (PARTITION BY extractant) AS m FROM p)) WHERE k = 1",
     "acquisition_extremes": _PREDICTED + "SELECT extractant, row_id, policy FROM (SELECT extractant, row_id, 'max' AS policy, row_number() OVER (PARTITION BY extractant ORDER BY -round(spread, 9), row_id) AS k FROM p UNION ALL SELECT extractant, row_id, 'min', row_number() OVER (PARTITION BY extractant ORDER BY round(spread, 9), row_id) FROM p) WHERE k = 1",
+    "baseline_chain": _UNITS
+    + f""", tr AS (SELECT * FROM u WHERE {_u(5, 'row_id')} >= 0.2), te AS (SELECT * FROM u WHERE {_u(5, 'row_id')} < 0.2),
+a AS (SELECT extractant, metal_symbol, avg(y) AS m FROM tr GROUP BY ALL), b AS (SELECT extractant, avg(y) AS m FROM tr GROUP BY ALL), c AS (SELECT chemotype, avg(y) AS m FROM tr GROUP BY ALL), e AS (SELECT metal_symbol, avg(y) AS m FROM tr GROUP BY ALL)
+SELECT CASE WHEN a.m IS NOT NULL THEN 0 WHEN b.m IS NOT NULL THEN 1 WHEN c.m IS NOT NULL THEN 2 WHEN e.m IS NOT NULL THEN 3 ELSE 4 END AS level, count(*) AS n, round(avg(abs(y - coalesce(a.m, b.m, c.m, e.m, (SELECT avg(y) FROM tr)))), 6) AS mae
+FROM te LEFT JOIN a ON te.extractant = a.extractant AND te.metal_symbol = a.metal_symbol LEFT JOIN b ON te.extractant = b.extractant LEFT JOIN c ON te.chemotype = c.chemotype LEFT JOIN e ON te.metal_symbol = e.metal_symbol GROUP BY 1""",
+    "grouped_linear_models": _UNITS
+    + f""", f AS (SELECT extractant, regr_slope(y, metal_z) AS a, regr_intercept(y, metal_z) AS b, avg(y) AS m FROM u WHERE {_u(5, 'row_id')} >= 0.2 GROUP BY 1)
+SELECT metal_symbol, count(*) AS n, round(avg(abs(y - coalesce(CASE WHEN NOT isnan(a) THEN a * metal_z + b END, m))), 6) AS mae FROM u JOIN f USING (extractant) WHERE {_u(5, 'row_id')} < 0.2 GROUP BY 1""",
     "applicability_domain": """WITH r AS (SELECT DISTINCT record_id, CASE WHEN NOT isnan(acid_nominal_M) THEN acid_nominal_M END AS a, CASE WHEN NOT isnan(ligand_M) THEN ligand_M END AS l, CASE WHEN NOT isnan(temperature_C) THEN temperature_C END AS t FROM corpus_records),
 b AS (SELECT min(a) AS a0, max(a) AS a1, min(l) AS l0, max(l) AS l1, min(t) AS t0, max(t) AS t1 FROM r WHERE a <= 4 AND l <= 0.2 AND t >= 20),
 g AS (SELECT record_id, """ + ", ".join(f"CASE WHEN {c} IS NULL THEN 0.0 ELSE greatest({c}0 - {c}, {c} - {c}1, 0.0) / greatest({c}1 - {c}0, 1e-12) END AS g{c}" for c in "alt") + " FROM r, b) SELECT record_id, CAST((ga > 0)::INT + (gl > 0)::INT + (gt > 0)::INT AS INT) AS n_outside, round(ga + gl + gt, 6) AS distance FROM g",

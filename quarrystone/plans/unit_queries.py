@@ -127,3 +127,13 @@ FROM w WHERE um IS NOT NULL
 """,
     "p7_units": _PARTS + "), q AS (SELECT * FROM p WHERE coalesce(v, stated) IS NOT NULL) SELECT field_name, unit, count(DISTINCT record_id) AS n_records FROM q GROUP BY ALL",
 }
+
+
+def quantities_sql(table_: str, raw: str) -> str:
+    """(unit, n, n_stated) of a column of stated quantities."""
+    group = lambda i: f"regexp_extract({_packed(raw)}, '{_NUMBER}', {i})"
+    stated = f"CASE WHEN lower(trim({raw})) NOT IN ('', '-', '- -', 'n/a', '?', 'none', 'nan') THEN TRY_CAST(replace({group(1)}, ',', '.') || CASE WHEN {group(2)} || {group(3)} <> '' THEN 'e' || {group(2)} || {group(3)} ELSE '' END AS DOUBLE) END"
+    return f"SELECT {_unit(group(4))} AS unit, count(*) AS n, count({stated}) AS n_stated FROM {table_} GROUP BY 1"
+
+
+SQL["parse_quantities"] = quantities_sql("dataset_all_metals", "acid_concentration_raw")  # the query stands with the curation of raw texts
