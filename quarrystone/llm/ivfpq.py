@@ -8,6 +8,10 @@ and the nearest of these are ranked again by exact Tanimoto similarity.
 Centroids and codebooks are fitted on a bounded sample drawn by hash (at most
 SAMPLE vectors); every vector is indexed and every vector is a query.
 
+The more lists there are, the likelier two similar vectors lie in lists that do
+not visit each other. So what is found is closed once: entries that found the
+same one are compared with each other exactly, whatever lists they are in.
+
 Equal vectors are one entry that knows its smallest ids, so copies cost nothing
 and none is lost. What is shipped of a query is one line per region it visits.
 Regions are cut into blocks of entries and of queries, so a region that holds a
@@ -34,7 +38,10 @@ CELLS = 262_144  # pairs of entries and queries looked at a time
 FEW = 0.05  # share of such pairs up to which they are ranked again one by one and not as a matrix
 BLOCK = 65_536  # entries of a region's block
 QUERIES = 65_536  # queries of a region's block
-REGIONS = 12  # visited by a query
+REGIONS = 24  # visited by a query, at most
+VISITED = 384  # lists of which a query visits one, where that is more than asked for
+WIDE = 2  # times k others of an entry are kept until what is found is closed
+AROUND = 32  # nearest of those that found one entry are compared with each other
 SCALE = 64.0  # steps of a squared distance of 1 in the integer tables
 
 
@@ -140,17 +147,18 @@ class Index:
         lot = min(REGIONS if probes > 1 else 2, len(self.regions))
         regions = _nearest(x, self.regions, lot)
         most = int(np.diff(self.first).max())
-        far, names = np.full((len(x), lot * most), np.inf, np.float32), np.full((len(x), lot * most), -1, np.int32)
+        far = np.full((len(x), lot * most), np.inf, np.float32)
         for r in np.unique(regions):
             a, b = self.first[r], self.first[r + 1]
             rows, slot = np.nonzero(regions == r)
-            d = (self.lists[a:b] ** 2).sum(1)[None] / 2 - x[rows] @ self.lists[a:b].T
-            columns = slot[:, None] * most + np.arange(b - a)[None]
-            far[rows[:, None], columns], names[rows[:, None], columns] = d, np.arange(a, b)[None]
+            far[rows[:, None], slot[:, None] * most + np.arange(b - a)[None]] = (self.lists[a:b] ** 2).sum(1)[None] / 2 - x[rows] @ self.lists[a:b].T
         k = min(probes, far.shape[1])
         near = np.argpartition(far, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(1, kind="stable"), 1)
-        return np.take_along_axis(names, near, 1)
+        d = np.take_along_axis(far, near, 1)
+        order = d.argsort(1, kind="stable")
+        near, d = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        names = self.first[np.take_along_axis(regions, near // most, 1)] + near % most
+        return np.where(np.isfinite(d), names, -1).astype(np.int32)
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         residual = x - self.lists[own]
@@ -261,13 +269,50 @@ class _Block:
         return qi[keep], di[keep], alike[keep]
 
 
+def _closed(near: DataFrame, entries: DataFrame, k: int, least: float, width: int) -> DataFrame:
+    """(entry, other, similarity) that (entry, other, similarity, place) lacks and that belong to an entry's k best: of two entries that have a third one in common."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                groups = batch.column(0).slice(a, 1024)
+                sizes, flat = np.asarray(groups.value_lengths()), groups.flatten()
+                first = np.cumsum(sizes) - sizes
+                entry, floor = flat.field("entry").to_numpy(), flat.field("floor").to_numpy()
+                words = np.ascontiguousarray(_bits(flat.field("bits"), width)).view(np.uint64)
+                ones = np.bitwise_count(words).sum(1).astype(np.int32)
+                lists = flat.field("known")
+                known, n = np.repeat(entry[:, None], k, 1), np.asarray(lists.value_lengths())
+                known[np.arange(k)[None] < n[:, None]] = lists.flatten().to_numpy()
+                for size in np.unique(sizes[sizes > 1]):
+                    i, j = np.triu_indices(size, 1)
+                    at = first[sizes == size][:, None]
+                    i, j = (at + i).ravel(), (at + j).ravel()
+                    both = np.bitwise_count(words[i] & words[j]).sum(1, dtype=np.int32)
+                    alike = both / (ones[i] + ones[j] - both)
+                    found = []
+                    for p, q in ((i, j), (j, i)):
+                        new = np.flatnonzero((alike >= least) & (alike >= floor[p]))
+                        new = new[(known[p[new]] != entry[q[new], None]).all(1)]
+                        found.append((entry[p[new]], entry[q[new]], alike[new]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in zip(*found, strict=True)], names=["entry", "other", "similarity"])
+
+    lists = near.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("place", "other", "similarity"))).alias("near"))
+    floor = F.when(F.size("near") >= k, F.col("near")[k - 1]["similarity"]).otherwise(-1.0)
+    told = lists.join(entries.select("entry", "bits"), "entry").select("entry", "bits", F.slice("near.other", 1, k).alias("known"), floor.alias("floor"), F.explode("near").alias("v"))
+    place = F.row_number().over(Window.partitionBy("v.other").orderBy(F.desc("v.similarity"), "entry"))
+    around = told.withColumn("r", place).where(F.col("r") <= AROUND).groupBy(F.col("v.other").alias("centre")).agg(F.collect_list(F.struct("entry", "bits", "known", "floor")).alias("g"))
+    return around.select("g").mapInArrow(compare, "entry long, other long, similarity double")
+
+
 def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 24, length: int = 256) -> tuple[DataFrame, DataFrame]:
     """(entries, neighbours) of a (id, bits) table.
 
     entries: (entry, bits, ids, n_listed): each different vector with its
     smallest k+1 ids, named by the smallest. neighbours: (entry, other, similarity, place): the k
     most similar other entries of each entry with Tanimoto similarity >= least,
-    ties won by the smaller id, among those its `probes` lists shortlist.
+    ties won by the smaller id, among those its lists (`probes`, more where
+    there are many) shortlist or those that share a found entry with it.
     Entries with k+1 or more copies need no neighbours and are not queries.
     Rows repeated under one id count once. An empty table gives empty results.
     """
@@ -284,6 +329,7 @@ def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int
         return entries, spark.createDataFrame([], schema + ", place int")
     index = Index(np.frombuffer(b"".join(bytes(r[0]) for r in sample), np.uint8).reshape(-1, width), n)
     model = spark.sparkContext.broadcast(vars(index))
+    probes, wide = max(probes, len(index.lists) // VISITED), WIDE * k
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index.of(model.value)
@@ -314,14 +360,17 @@ def most_similar(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int
         block = _Block(index, entries_.column("own").to_numpy(), entries_.column("entry").to_numpy(), _bits(entries_.column("bits"), width), _bits(entries_.column("code"), SUBSPACES))
         lists = queries.column("q_lists").combine_chunks()
         at, name = np.asarray(pa.compute.list_parent_indices(lists)), np.asarray(lists.flatten()).astype(np.int64) + index.first[key[0].as_py()]
-        found = block.search(at, name, queries.column("q_entry").to_numpy(), _bits(queries.column("q_bits"), width), k, least)
+        found = block.search(at, name, queries.column("q_entry").to_numpy(), _bits(queries.column("q_bits"), width), wide, least)
         # What a query finds is told to the entry found as well, which may not have visited the query's list.
         q, e, alike = found
         return pa.Table.from_arrays([pa.array(np.concatenate(f)) for f in ((q, e), (e, q), (alike, alike))], schema=out)
 
     near = held.groupBy("region", "d", "q").cogroup(asking.groupBy("q_region", "q_d", "q_q")).applyInArrow(search, schema)
     place = F.dense_rank().over(Window.partitionBy("entry").orderBy(F.desc("similarity"), "other"))
-    return entries, near.withColumn("place", place).where(F.col("place") <= k).dropDuplicates(["entry", "other"])
+    best = lambda df, n: df.withColumn("place", place).where(F.col("place") <= n).dropDuplicates(["entry", "other"])
+    near = cut(best(near, wide))
+    more = _closed(near, entries, k, least, width)
+    return entries, best(near.where(F.col("place") <= k).drop("place").unionByName(more), k)
 
 
 def similar_pairs(packed: DataFrame, k: int = 5, least: float = 0.0, probes: int = 24, length: int = 256) -> DataFrame:

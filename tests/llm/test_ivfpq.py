@@ -52,3 +52,13 @@ def test_unusable_and_empty(spark):
     rows = [(1, good, 0), (2, good, 0), (3, None, 0), (4, [0.0] * 256, 0), (5, [float("nan")] + good[1:], 0), (6, good[:200], 0), (7, [None] + good[1:], 0), (1, good, 0)]
     assert [(r["a"], r["b"]) for r in similar_pairs(pack_vectors(_frame(spark, rows), "id", "v", 256), 5, 0.6).collect()] == [(1, 2)]
     assert similar_pairs(pack_vectors(_frame(spark, []), "id", "v", 256), 5, 0.6).count() == 0
+
+
+def test_pairs_of_unrelated_lists_are_found_through_a_third(spark):
+    bits = lambda *ones: np.packbits([i in ones for i in range(256)]).tobytes()
+    x = {1: bits(*range(10)), 2: bits(*range(1, 11)), 3: bits(*range(2, 12)), 4: bits(*range(5, 17)), 5: bits(*range(100, 110))}
+    entries = spark.createDataFrame([(e, b) for e, b in x.items()], "entry long, bits binary")
+    alike = {(1, 2): 9 / 11, (2, 3): 9 / 11, (2, 4): 6 / 16}
+    near = spark.createDataFrame([(a, b, s, 1 if s > 0.5 and (a, b) != (2, 3) else 2) for p, s in alike.items() for a, b in (p, p[::-1])], "entry long, other long, similarity double, place int")
+    got = sorted(map(tuple, ivfpq._closed(near, entries, 2, 0.6, 32).collect()))
+    assert got == [(1, 3, 8 / 12), (3, 1, 8 / 12)]
