@@ -13,7 +13,7 @@ from quarrystone.operators import selection as Q
 from quarrystone.operators import similarity as S
 from quarrystone.operators.graph import connected_components
 from quarrystone.plans.metric_queries import panel, rounded
-from quarrystone.sources.tables import table
+from quarrystone.sources.tables import cut, table
 
 SELF = "10.99000/archive.self"
 
@@ -261,16 +261,26 @@ def grouped_linear_models(spark, d):
 
 
 def forest_contender(spark, d):
-    """A random forest on the archive's conditions with fold-local median filling, scored on held-out ligands."""
+    """A random forest on the archive's conditions with fold-local median filling, scored on held-out ligands.
+
+    Families grow with the rows, so a family is not a category but the mean of its rows in training, by which a regression tree
+    orders categories anyway; rows without a family are one, and families unknown in training count as such.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    u = _units(spark, d).withColumn("missing_acid", F.col("acid").isNull().cast("double")).withColumn("z", F.col("metal_z").cast("double"))
+    u = _units(spark, d).withColumn("missing_acid", F.col("acid").isNull().cast("double")).withColumn("z", F.col("metal_z").cast("double")).withColumn("family", F.coalesce("chemotype", F.lit("")))
     held = F.crc32("extractant") % 5 == 0
-    steps = [Imputer(inputCols=["acid"], outputCols=["acid_f"], strategy="median"), StringIndexer(inputCol="chemotype", outputCol="family", handleInvalid="keep"), VectorAssembler(inputCols=["acid_f", "missing_acid", "z", "family"], outputCol="x"), RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=10, maxDepth=5, maxBins=4096, seed=7)]
-    model = Pipeline(stages=steps).fit(u.where(~held))
-    return model.transform(u.where(held)).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 6).alias("mae"))
+    known = u.where(~held).groupBy("family").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    other = known.agg(F.coalesce(F.sum(F.when(F.col("family") == "", F.col("s"))) / F.sum(F.when(F.col("family") == "", F.col("n"))), F.sum("s") / F.sum("n")).alias("other"))
+    u = u.join(known, "family", "left").crossJoin(F.broadcast(other)).withColumn("family_y", F.round(F.coalesce(F.col("s") / F.col("n"), "other"), 9))
+    # Draws go by a row's place, so rows are put in order.
+    rows = u.select("row_id", "extractant", "y", "acid", "missing_acid", "z", "family_y").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row_id").sortWithinPartitions("row_id")
+    steps = [Imputer(inputCols=["acid"], outputCols=["acid_f"], strategy="median"), VectorAssembler(inputCols=["acid_f", "missing_acid", "z", "family_y"], outputCol="x"), RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=10, maxDepth=5, maxBins=4096, seed=7)]
+    rows = cut(rows)
+    model = Pipeline(stages=steps).fit(rows.where(~held))
+    return model.transform(rows.where(held)).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 6).alias("mae"))
 
 
 QUERIES = {
