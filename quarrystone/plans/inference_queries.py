@@ -103,7 +103,7 @@ def neighbour_labels(spark, d):
 def similarity_clusters(spark, d):
     """Single-linkage clusters of all usable structures at similarity 0.7: each structure with its cluster."""
     v = _binary(spark, d)
-    links = S.similarity_links(v, "structure_id", "fingerprint", 0.7)
+    links = S.similarity_edges(v, "structure_id", "fingerprint", 0.7)
     both = links.union(v.select(F.col("structure_id").alias("a"), F.col("structure_id").alias("b")))
     return connected_components(both.select(F.col("a").cast("long"), F.col("b").cast("long"))).select(F.col("node").alias("structure_id"), F.col("component").alias("cluster"))
 

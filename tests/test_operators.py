@@ -221,6 +221,21 @@ def test_block_search_against_brute_force(spark, monkeypatch):
     assert links == {(i, j) for i, v in good for j, u in good if i < j and alike(v, u) >= 0.5}
 
 
+def test_edges_tie_what_links_tie_without_copying_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    cores = [[float(rng.random() < 0.3) for _ in range(96)] for _ in range(9)]
+    rows = [(i, [x if rng.random() < 0.96 else 1 - x for x in rng.choice(cores)]) for i in range(120)]
+    rows += [(200 + i, rows[i % 4][1]) for i in range(30)] + [(300, [0.0] * 96), (301, [0.0] * 96), (302, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    want = {tuple(r) for r in connected_components(S.similarity_links(df, "id", "v", 0.6)).collect()}
+    monkeypatch.setattr(S, "TILE", 32)
+    for chunk in (50, 262_144):
+        monkeypatch.setattr(S, "CHUNK", chunk)
+        monkeypatch.setattr(S, "similarity_links", None)
+        edges = [tuple(r) for r in S.similarity_edges(df, "id", "v", 0.6).collect()]
+        assert len(edges) == len(set(edges)) and {tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
